@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             total = np.zeros(m, np.uint64)
             np.add.at(total, cell.astype(np.int64), mix64(mixed))
             full = np.flatnonzero(np.bincount(cell.astype(np.int64), minlength=m))
-            out.append(mix64(total[full] + mix64(full.astype(np.uint64) + np.uint64(config + 1) * SALT)))
+            out.append(mix64(total[full] + mix64(full.astype(np.uint64) + np.uint64((config + 1) << 40))))
             weak |= len(full) <= min(t.most(n + t.partner(n)), t.most(2 * (t.bounds[config + 2] - 1)))
         if weak:
             need = -(-t.num * n // t.den)
