@@ -40,7 +40,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
-PATH, WORDS, MEASURES = 96, 48, 8
+PATH, WORDS, MEASURES = 251, 32, 8
 INPUT, HIDDEN = PATH + WORDS + MEASURES, 16
 
 
@@ -147,20 +147,30 @@ def _raw_end(page: str, name: str, at: int) -> int:
     return m.end() if m else len(page)
 
 
-def vectors(found: list[tuple[tuple[int, ...], str, float]]) -> np.ndarray:
-    """A row for each block of a page."""
+def vectors(pages: list[list[tuple[tuple[int, ...], str, float]]]) -> list[np.ndarray]:
+    """For each page, a row for each of its blocks."""
+    found = [b for page in pages for b in page]
     n = len(found)
     x = np.zeros((n, INPUT), np.float32)
-    raw = [t.encode("utf-8", "surrogatepass") for _, t, _ in found]
-    off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    _, _, doc, h = words(np.frombuffer(b"".join(raw), np.uint8), off)
-    count = np.maximum(np.bincount(doc, minlength=n), 1)
-    np.add.at(x, (doc, PATH + (h % np.uint64(WORDS)).astype(np.int64)), 1)
-    x[:, PATH : PATH + WORDS] /= np.sqrt(count)[:, None]
-    for i, (path, t, linked) in enumerate(found):
-        x[i, list(path)] = 1
-        x[i, PATH + WORDS :] = (np.log1p(len(t)) / 6, linked, t[-1] in ".!?", sum(map(t.count, ".,;")) / len(t) * 10, i / n, 1 - i / n, np.log1p(count[i]) / 5, t[0].isupper())
-    return x
+    if n:
+        raw = [t.encode("utf-8", "surrogatepass") for _, t, _ in found]
+        size = np.array([len(r) for r in raw], np.int64)
+        data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(size)))
+        _, _, doc, h = words(data, off)
+        count = np.maximum(np.bincount(doc, minlength=n), 1)
+        bucket = np.bincount(doc * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+        x[:, PATH : PATH + WORDS] = bucket / np.sqrt(count)[:, None]
+        deep = [len(p) for p, _, _ in found]
+        x[np.repeat(np.arange(n), deep), np.array([b for p, _, _ in found for b in p], np.int64)] = 1
+        points = np.concatenate(([0], np.cumsum(np.isin(data, np.frombuffer(b".,;", np.uint8)))))
+        per = [len(page) for page in pages]
+        place = (np.arange(n) - np.repeat(np.cumsum(per) - per, per)) / np.repeat(np.maximum(per, 1), per)
+        first, last = data[off[:-1]], data[off[1:] - 1]
+        x[:, PATH + WORDS :] = np.column_stack([
+            np.log1p(size) / 6, [f for _, _, f in found], np.isin(last, np.frombuffer(b".!?", np.uint8)), (points[off[1:]] - points[off[:-1]]) / size * 10,
+            place, 1 - place, np.log1p(count) / 5, (first >= 65) & (first <= 90),
+        ])
+    return np.split(x, np.cumsum([len(page) for page in pages])[:-1]) if pages else []
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -222,7 +232,7 @@ class Labeller:
         grad[f"wx{d}"] += x.reshape(-1, INPUT).T @ flat
         grad[f"b{d}"] += flat.sum(0)
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, size: int = 32, rate: float = 0.01, seed: int = 3) -> Labeller:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, size: int = 50, rate: float = 0.01, seed: int = 3) -> Labeller:
         rng = np.random.Generator(np.random.PCG64(seed))
         mean, var = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
@@ -309,7 +319,8 @@ class Pages:
         return " ".join(self.sentence() for _ in range(self.r.randint(lo, hi)))
 
     def named(self, kind: str) -> str:
-        n = self.r.choice(ASIDE[kind].split())
+        names = ASIDE[kind].split()
+        n = names[0] if self.r.random() < 0.4 else self.r.choice(names)
         return f'{self.r.choice(["class", "class", "id"])}="{n}{self.r.choice(["", "", " box", "-1", " w-2"])}"'
 
     def off(self, kind: str) -> str:
@@ -371,7 +382,7 @@ class Pages:
         return page
 
 
-def training(n: int = 500, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+def training(n: int = 700, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
     """Vectors and labels of written pages. A mark turns into a block of its own that says where the article starts and ends."""
     write, out = Pages(seed), []
     for _ in range(n):
@@ -384,8 +395,8 @@ def training(n: int = 500, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]
                 found.append(b)
                 label.append(inside)
         if found:
-            out.append((vectors(found), np.array(label, np.float32)))
-    return out
+            out.append((found, np.array(label, np.float32)))
+    return list(zip(vectors([f for f, _ in out]), [y for _, y in out], strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -397,7 +408,7 @@ def main_texts(pages: list[str], model: Labeller) -> list[str]:
     out: list[str] = []
     for lo in range(0, len(pages), 400):
         found = [blocks(p) for p in pages[lo : lo + 400]]
-        for b, keep in zip(found, model.label([vectors(f) for f in found]), strict=True):
+        for b, keep in zip(found, model.label(vectors(found)), strict=True):
             out.append("\n\n".join(t for (_, t, _), k in zip(b, keep.tolist(), strict=True) if k))
     return out
 

@@ -36,7 +36,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Encodings by size of alphabet: the characters, and the share of variation that words leave in them.
 ALPHABETS = (("hex", re.compile(r"[0-9a-fA-F]+"), 16), ("base32", re.compile(r"[A-Z2-7]+=*"), 32), ("base36", re.compile(r"[A-Z0-9]+|[a-z0-9]+"), 36), ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*"), 64))
 #: Under the words hypothesis: excess of the chi-squared statistic a character, rate of class changes, correlation of neighbours and share of vowels.
-EXCESS, CHANGES, CORRELATION = 1.1, 0.12, -0.35
+EXCESS, CHANGES, CORRELATION = 1.1, 0.33, -0.3
 RATE, LENGTH_UNIT = 0.01, 32
 VOWELS = frozenset("aeiouAEIOU")
 

@@ -151,7 +151,7 @@ class Automaton:
         return out
 
 
-NAMES = ("exact", "edited", "edited_short", "quoted", "address", "rate", "kinds")
+NAMES = ("matched", "edited", "edited_short", "quoted", "address", "rate", "any")
 
 
 class Matcher:
@@ -203,7 +203,8 @@ class Matcher:
         plain, long = ~quoted, end - start >= 7
         exact, edited = per(plain & (edits == 0)), per(plain & (edits > 0) & long)
         short = per(plain & (edits > 0) & ~long)
-        return np.column_stack([np.log1p(exact), np.log1p(edited), np.log1p(short), np.log1p(per(quoted)), np.log1p(per(addressed & plain)), np.minimum(1, 20 * exact / np.maximum(count, 1)), exact > 0])
+        total = exact + edited  # a longer misspelt term counts like the term; the labels may take from that by the second column
+        return np.column_stack([np.log1p(total), np.log1p(edited), np.log1p(short), np.log1p(per(quoted)), np.log1p(per(addressed & plain)), np.minimum(1, 20 * total / np.maximum(count, 1)), total > 0])
 
 
 def lexicon(docs: DataFrame) -> tuple[list[str], list[str]]:
