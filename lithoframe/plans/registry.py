@@ -1,4 +1,17 @@
 """Every query of the engine by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from functools import partial
+
+from ..operators.sqlset import Q
+from . import adapters  # noqa: F401  the views
+from .compiler import oracle, run
+
+
+def _sql(text: str, spark, sf_dir: str):
+    return run(spark, sf_dir, text)
+
+
+QUERIES: dict = {name: partial(_sql, text) for name, text in Q.items()}
+ORACLES: dict = {name: oracle(text) for name, text in Q.items()}
