@@ -5,10 +5,11 @@ The Jaccard distance 1 - |x & y| / |x | y| is a metric, so with a pivot p two do
 pivot, so pivots drawn from the corpus alone would replicate every document to every region. The join
 therefore makes its regions in two steps, both exact:
 
-1. Regions. Shingles are dealt by hash into cells, a few more cells than two linked documents can differ
-   in shingles; so two linked documents agree in a whole non-empty cell. Equal cells join documents into a
-   region (components over stars of cells, without listing pairs). A document with too few non-empty
-   cells for that argument can only be missed against another such one; those also share prefix tokens.
+1. Regions. Shingles are dealt by hash into cells, and a document sends its first cells, a few more than
+   the shingles in which it can differ from a partner; so two linked documents agree in a whole non-empty
+   cell that both send. Equal cells join documents into a region (components over stars of cells, without
+   listing pairs). A document with too few non-empty cells for that argument sends all of its cells and can
+   only be missed against another such one; those also share prefix tokens.
 2. Inside a region, pivots: distances to the pivot order the documents, triangle-inequality windows keep
    those that can link, a Voronoi split with boundary documents replicated (nearest pivot within 2r)
    recurses, and what is left is compared exactly. Documents already known to be connected are not
@@ -59,20 +60,37 @@ class Threshold:
             self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
-    def most(self, total: int) -> int:
-        """Shingles in which two linked documents of so many shingles together can differ."""
-        return (self.den - self.num) * total // (self.den + self.num)
+    def differ(self, a: int, b: int) -> int:
+        """Shingles in which two linked documents of a and b shingles can differ."""
+        return (self.den - self.num) * (a + b) // (self.den + self.num)
 
-    def cells(self, config: int) -> int:
-        """Cells for the classes config and config + 1; 0 where links are between equal sets only."""
-        while len(self.bounds) <= config + 2:
+    @staticmethod
+    def sent(apart: int) -> int:
+        """Cells that a document sends which can differ from a partner in so many shingles: one more, and some as cells can be empty."""
+        return apart + 1 + (apart + 1) // 12 + 1
+
+    def top(self, c: int) -> int:
+        """Largest size of class c."""
+        while len(self.bounds) <= c + 1:
             self.size_class(self.bounds[-1])
-        apart = self.most(2 * (self.bounds[config + 2] - 1))
-        return 0 if apart == 0 else (apart + 1) * 21 // 20 + 2
+        return self.bounds[c + 1] - 1
 
     def partner(self, n: int) -> int:
         return n * self.den // self.num
 
+    def own(self, n: int) -> int:
+        """Most differences to a partner of the same class or the one above."""
+        return self.differ(n, self.partner(n))
+
+    def below(self, n: int, c: int) -> int:
+        """Most differences to a partner of class c, the one below; 0 also if no size of it can link."""
+        most = self.top(c)
+        return self.differ(n, most) if self.den * most >= self.num * n else 0
+
+    def cells(self, c: int) -> int:
+        """Cells of configuration c, which serves pairs of class c and pairs of classes c and c + 1."""
+        return self.sent(max(self.own(self.top(c)), self.differ(self.top(c + 1), self.top(c))))
+
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
@@ -109,15 +127,20 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def keys_of(s: np.ndarray, t: Threshold) -> list[np.ndarray]:
         n, c, out, weak = len(s), t.size_class(len(s)), [], False
         mixed = mix64(s + SALT)
-        for config in (c - 1, c):
-            if config < 0 or not (m := t.cells(config)):
+        for config, apart in ((c, t.own(n)), (c - 1, t.below(n, c - 1) if c else 0)):
+            if not apart:  # only equal sets can link
                 continue
-            cell = ((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            m = t.cells(config)
+            cell = (((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(m, np.uint64)
-            np.add.at(total, cell.astype(np.int64), mix64(mixed))
-            full = np.flatnonzero(np.bincount(cell.astype(np.int64), minlength=m))
+            np.add.at(total, cell, mix64(mixed))
+            full = np.flatnonzero(np.bincount(cell, minlength=m))
+            first = full[full < t.sent(apart)]
+            if len(first) <= apart:
+                weak = True  # its partner may have the cell in common among all of them
+            else:
+                full = first
             out.append(mix64(total[full] + mix64(full.astype(np.uint64) + np.uint64((config + 1) << 40))))
-            weak |= len(full) <= min(t.most(n + t.partner(n)), t.most(2 * (t.bounds[config + 2] - 1)))
         if weak:
             need = -(-t.num * n // t.den)
             out.append(mix64(np.sort(mixed)[: n - need + 1] ^ np.uint64(0x5851F42D4C957F2D)))
@@ -250,15 +273,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], k: int):
         yield now, rows, sets
 
 
-def _edges(pairs) -> pa.RecordBatch:
+def _edges(pairs, region: int) -> pa.RecordBatch:
     u, v, w = (zip(*pairs, strict=True)) if pairs else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64())], ["u", "v", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64()), pa.array([region] * len(u), pa.int64())], ["u", "v", "d", "region"])
 
 
 def _within(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Each block with its pivot (role 0). Rows u = v carry the distance d to the pivot."""
     t = Threshold(num, den)
-    for _, rows, sets in _grouped(batches, k):
+    for (region, _), rows, sets in _grouped(batches, k):
         forest, out = Forest(len(rows)), []
         if rows[0][3] == 0:
             size = np.array([len(s) for s in sets])
@@ -267,20 +290,20 @@ def _within(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
         else:
             found = []
         out += voronoi_links(sets, t, forest, np.arange(len(rows)))
-        yield _edges(found + [(rows[i][2], rows[j][2], 0.0) for i, j in out])
+        yield _edges(found + [(rows[i][2], rows[j][2], 0.0) for i, j in out], region)
 
 
 def _across(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks: rows of role 0 against those of role 1; comp connects what is connected already."""
     t = Threshold(num, den)
-    for _, rows, sets in _grouped(batches, k):
+    for (region, _), rows, sets in _grouped(batches, k):
         forest, first, at = Forest(len(rows)), {}, {}
         for i, r in enumerate(rows):
             forest.union(first.setdefault(r[5], i), i)
             forest.union(at.setdefault(r[2], i), i)
         role = np.array([r[3] for r in rows])
         out = voronoi_links(sets, t, forest, np.flatnonzero(role == 0), np.flatnonzero(role == 1))
-        yield _edges([(rows[i][2], rows[j][2], 0.0) for i, j in out])
+        yield _edges([(rows[i][2], rows[j][2], 0.0) for i, j in out], region)
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -292,45 +315,55 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     stars = signatures(docs, k, num, den)
     least = F.first("a").over(Window.partitionBy("key").orderBy("a"))
     stars = stored(stars.select("a", least.alias("least")).where("a <> least").groupBy("least", "a").agg(F.lit(1).alias("one")).select(F.col("least").alias("u"), F.col("a").alias("v")))
-    region = components(stars)  # (node, component) over set hashes
-    work = stored(node.join(small(region.withColumnRenamed("node", "a").withColumnRenamed("component", "region")), "a").select("region", "node", "n_shingles", "a"))
+    region = stored(components(stars).withColumnRenamed("node", "a").withColumnRenamed("component", "region"))
+    vast = stored(region.groupBy("region").count().where(F.col("count") > block).select("region"))
+    # chains of shared passages can tie many documents together: such a region is read star by star, which holds every pair that shares a cell
+    star = stars.join(small(region.join(small(vast), "region").select(F.col("a").alias("u"))), "u")
+    parts = region.join(small(vast), "region", "left_anti").select("region", "a").unionByName(star.select(F.col("u").alias("region"), F.col("v").alias("a"))).unionByName(star.select(F.col("u").alias("region"), F.col("u").alias("a")).distinct())
+    work = stored(node.join(small(parts), "a").select("region", "node", "n_shingles", "a"))
     sizes = work.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot")).where("n > 1")
-    texts = docs.join(small(work.withColumnRenamed("node", "doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
-    return _finish(docs, sets, node, texts, sizes, k, num, den, block)
-
-
-def _finish(docs, sets, node, texts, sizes, k, num, den, block) -> DataFrame:
-    held = stored(texts.join(small(sizes), "region").select("region", "node", "a", "n_shingles", "n", "pivot", "text"))
+    held = stored(work.join(small(sizes), "region"))
     blocks = F.ceil(F.col("n") / block)
-    dealt = held.select("region", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", F.lit(1).alias("role"), "a", "text").unionByName(
-        held.where((F.col("n") > block) & (F.col("node") == F.col("pivot"))).select("region", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "node", F.lit(0).alias("role"), "a", "text")
+    dealt = held.select("region", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", F.lit(1).alias("role"), "a").unionByName(
+        held.where((F.col("n") > block) & (F.col("node") == F.col("pivot"))).select("region", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "node", F.lit(0).alias("role"), "a")
     )
-    schema = "u long, v long, d double"
-    ordered = dealt.repartition("region", "block").sortWithinPartitions("region", "block", "role", "node")
-    first = stored(ordered.mapInArrow(lambda it: _within(it, k, num, den), schema))
+    schema = "u long, v long, d double, region long"
+
+    def read(rows: DataFrame) -> DataFrame:
+        """rows with the texts of their nodes, dealt by region and block."""
+        met = docs.join(small(stored(rows)), F.col("doc_id") == F.col("node")).select(*rows.columns, "text")
+        return met.repartition("region", "block").sortWithinPartitions("region", "block", "role", "node")
+
+    first = stored(read(dealt).mapInArrow(lambda it: _within(it, k, num, den), schema))
     edges = first.where("u <> v").select("u", "v")
     large = held.where(F.col("n") > block)
     if large.limit(1).count():
         comp = components(edges).withColumnRenamed("component", "comp")
-        far = large.join(first.where("u = v").groupBy(F.col("u").alias("node")).agg(F.min("d").alias("d")), "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        far = stored(far)
+        # a node can be in several regions: its distance is the one to the pivot of the region
+        far = large.join(first.where("u = v").groupBy(F.col("u").alias("node"), "region").agg(F.min("d").alias("d")), ["node", "region"]).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        far = stored(far.withColumn("step", F.floor(F.col("d") * 50).cast("long")))
         most = far.groupBy("region", "comp").count().groupBy("region").agg(F.max(F.struct("count", "comp"))["comp"].alias("giant"))
         far = far.join(small(most), "region")
-        # blocks by distance to the pivot: ranges of distance and size decide which of them can link
-        step = F.floor(F.col("d") * 50).cast("long")
-        piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).cast("long")
-        far = far.withColumn("blk", F.concat_ws(":", step.cast("string"), piece.cast("string")))
-        ranges = stored(far.groupBy("region", "blk").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("n_shingles").alias("s0"), F.max("n_shingles").alias("s1"), F.max((F.col("comp") != F.col("giant")).cast("int")).alias("rest")))
-        x, y = ranges.where("rest = 1").alias("x"), ranges.alias("y")
+
+        def cut(df: DataFrame, name: str) -> DataFrame:
+            """Blocks of about `block` documents of like distance to the pivot."""
+            count = df.groupBy("region", "step").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
+            return df.join(small(count), ["region", "step"]).withColumn(name, F.concat_ws(":", F.col("step").cast("string"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string")))
+
+        def ranges(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("region", name).agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("n_shingles").alias("s0"), F.max("n_shingles").alias("s1"))
+
+        rest, every = cut(far.where("comp <> giant"), "xb"), cut(far, "yb")
+        x, y = ranges(rest, "xb").alias("x"), ranges(every, "yb").alias("y")
         r = 1 - num / den + 1e-9
+        # ranges of distance and size decide which blocks can link
         can = x.join(y, F.col("x.region") == F.col("y.region")).where(
             (F.col("x.d0") <= F.col("y.d1") + r) & (F.col("y.d0") <= F.col("x.d1") + r) & (F.col("x.s0") * num <= F.col("y.s1") * den) & (F.col("y.s0") * num <= F.col("x.s1") * den)
-        ).select(F.col("x.region").alias("region"), F.col("x.blk").alias("xb"), F.col("y.blk").alias("yb"), F.concat_ws("|", "x.blk", "y.blk").alias("block"))
+        ).select(F.col("x.region").alias("region"), "xb", "yb", F.concat_ws("|", "xb", "yb").alias("block"))
         can = stored(can)
-        one = far.where("comp <> giant").join(can, (far.blk == can.xb) & (far.region == can.region)).select(far.region, "block", "node", F.lit(0).alias("role"), "a", "comp", "text")
-        two = far.join(can, (far.blk == can.yb) & (far.region == can.region)).select(far.region, "block", "node", F.lit(1).alias("role"), "a", "comp", "text")
-        met = one.unionByName(two).repartition("region", "block").sortWithinPartitions("region", "block", "role", "node")
-        second = stored(met.mapInArrow(lambda it: _across(it, k, num, den), schema))
+        one = rest.join(small(can), ["region", "xb"]).select("region", "block", "node", F.lit(0).alias("role"), "a", "comp")
+        two = every.join(small(can), ["region", "yb"]).select("region", "block", "node", F.lit(1).alias("role"), "a", "comp")
+        second = stored(read(one.unionByName(two)).mapInArrow(lambda it: _across(it, k, num, den), schema))
         edges = edges.unionByName(second.select("u", "v"))
     final = components(edges)
     named = node.join(small(final), "node", "left").select("a", "b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
