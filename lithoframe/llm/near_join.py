@@ -282,7 +282,9 @@ def _within(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
     """Each block with its pivot (role 0). Rows u = v carry the distance d to the pivot."""
     t = Threshold(num, den)
     for (region, _), rows, sets in _grouped(batches, k):
-        forest, out = Forest(len(rows)), []
+        forest, out, at = Forest(len(rows)), [], {}
+        for i, r in enumerate(rows):
+            forest.union(at.setdefault(r[5], i), i)  # connected before
         if rows[0][3] == 0:
             size = np.array([len(s) for s in sets])
             d = _distances(0, np.arange(len(rows)), sets, size, t, forest, out)
@@ -317,16 +319,19 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     stars = stored(stars.select("a", least.alias("least")).where("a <> least").groupBy("least", "a").agg(F.lit(1).alias("one")).select(F.col("least").alias("u"), F.col("a").alias("v")))
     region = stored(components(stars).withColumnRenamed("node", "a").withColumnRenamed("component", "region"))
     vast = stored(region.groupBy("region").count().where(F.col("count") > block).select("region"))
-    # chains of shared passages can tie many documents together: such a region is read star by star, which holds every pair that shares a cell
-    star = stars.join(small(region.join(small(vast), "region").select(F.col("a").alias("u"))), "u")
-    parts = region.join(small(vast), "region", "left_anti").select("region", "a").unionByName(star.select(F.col("u").alias("region"), F.col("v").alias("a"))).unionByName(star.select(F.col("u").alias("region"), F.col("u").alias("a")).distinct())
-    work = stored(node.join(small(parts), "a").select("region", "node", "n_shingles", "a"))
-    sizes = work.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot")).where("n > 1")
-    held = stored(work.join(small(sizes), "region"))
+    work = stored(node.join(small(region), "a").select("region", "node", "n_shingles", "a").withColumn("comp", F.col("node")))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot")).where("n > 1")
+        return stored(rows.join(small(sizes), "region"))
+
     blocks = F.ceil(F.col("n") / block)
-    dealt = held.select("region", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", F.lit(1).alias("role"), "a").unionByName(
-        held.where((F.col("n") > block) & (F.col("node") == F.col("pivot"))).select("region", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "node", F.lit(0).alias("role"), "a")
-    )
+
+    def dealt(held: DataFrame) -> DataFrame:
+        """Rows of each region in blocks, the pivot of a large one (role 0) in all of its blocks."""
+        pivots = held.where((F.col("n") > block) & (F.col("node") == F.col("pivot"))).select("region", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "node", F.lit(0).alias("role"), "a", "comp")
+        return held.select("region", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", F.lit(1).alias("role"), "a", "comp").unionByName(pivots)
+
     schema = "u long, v long, d double, region long"
 
     def read(rows: DataFrame) -> DataFrame:
@@ -334,10 +339,23 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         met = docs.join(small(stored(rows)), F.col("doc_id") == F.col("node")).select(*rows.columns, "text")
         return met.repartition("region", "block").sortWithinPartitions("region", "block", "role", "node")
 
-    first = stored(read(dealt).mapInArrow(lambda it: _within(it, k, num, den), schema))
+    first = stored(read(dealt(sized(work))).mapInArrow(lambda it: _within(it, k, num, den), schema))
     edges = first.where("u <> v").select("u", "v")
-    large = held.where(F.col("n") > block)
-    if large.limit(1).count():
+    if vast.limit(1).count():
+        # Chains of shared passages can tie many documents together. What the blocks of such a region have left
+        # unconnected is read star by star: every pair that shares a cell meets in the star of the cell's least set.
+        own = work.join(small(vast), "region").join(small(components(edges).withColumnRenamed("component", "c")), "node", "left").select("node", "n_shingles", "a", F.coalesce("c", "node").alias("comp"))
+        own = stored(own)
+        star = stars.join(small(own.select(F.col("a").alias("u"))), "u")
+        rows = star.select(F.col("u").alias("region"), F.col("v").alias("a")).unionByName(star.select(F.col("u").alias("region"), F.col("u").alias("a")).distinct()).join(small(own), "a")
+        mixed = rows.groupBy("region").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("region")
+        held = sized(rows.join(small(stored(mixed)), "region").select("region", "node", "n_shingles", "a", "comp"))
+        first = stored(read(dealt(held)).mapInArrow(lambda it: _within(it, k, num, den), schema))
+        edges = edges.unionByName(first.where("u <> v").select("u", "v"))
+        large = held.where(F.col("n") > block).drop("comp")
+    else:
+        large = None
+    if large is not None and large.limit(1).count():
         comp = components(edges).withColumnRenamed("component", "comp")
         # a node can be in several regions: its distance is the one to the pivot of the region
         far = large.join(first.where("u = v").groupBy(F.col("u").alias("node"), "region").agg(F.min("d").alias("d")), ["node", "region"]).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -347,8 +365,10 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
         def cut(df: DataFrame, name: str) -> DataFrame:
             """Blocks of about `block` documents of like distance to the pivot."""
-            count = df.groupBy("region", "step").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
-            return df.join(small(count), ["region", "step"]).withColumn(name, F.concat_ws(":", F.col("step").cast("string"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string")))
+            whole = df.groupBy("region").agg(F.ceil(F.count("*") / block).cast("long").alias("p"))
+            near = df.join(small(whole), "region").withColumn("range", F.floor(F.col("step") * F.col("p") / 51).cast("long"))
+            count = near.groupBy("region", "range").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
+            return near.join(small(count), ["region", "range"]).withColumn(name, F.concat_ws(":", F.col("range").cast("string"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("string")))
 
         def ranges(df: DataFrame, name: str) -> DataFrame:
             return df.groupBy("region", name).agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("n_shingles").alias("s0"), F.max("n_shingles").alias("s1"))
