@@ -81,6 +81,8 @@ def compiled(text: str, spark: bool, sf_dir: str = "") -> str:
     body = _dialect(text, spark, sf_dir).strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
