@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
-from ..operators import graph
-from ..operators.sqlset import Q
+from ..operators import density, graph
+from ..operators.sqlset import Q as SQLSET
 from . import adapters  # noqa: F401  the views
 from .compiler import oracle, run
 
@@ -14,9 +14,12 @@ def _sql(text: str, spark, sf_dir: str):
     return run(spark, sf_dir, text)
 
 
+Q = SQLSET | density.Q
 QUERIES: dict = {name: partial(_sql, text) for name, text in Q.items()}
 ORACLES: dict = {name: oracle(text) for name, text in Q.items()}
 
 QUERIES |= {"closure": graph.q_closure, "cell_heights": graph.q_heights, "recursive_members": graph.q_recursive_members}
 #: A recursive query keeps its own WITH RECURSIVE in front of the views.
 ORACLES |= {"closure": oracle(graph.CLOSURE_SQL), "cell_heights": oracle(graph.HEIGHTS_SQL), "recursive_members": oracle(graph.MEMBERS_SQL)}
+QUERIES |= {"density_members": density.q_density_members, "density_instances": density.q_density_instances}
+ORACLES |= {"density_members": oracle(density.MEMBERS_SQL), "density_instances": oracle(density.INSTANCES_SQL)}
