@@ -18,7 +18,7 @@ from .common import stored
 CHUNK = 100_000
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Stars to the least node of what the edges of a chunk connect."""
     up: dict[int, int] = {}
     held = 0
@@ -37,7 +37,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = find(x), find(y)
             up[max(x, y)] = min(x, y)
         held += batch.num_rows
-        if held >= CHUNK:
+        if held >= chunk:
             yield stars()
             up.clear()
             held = 0
@@ -45,9 +45,9 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Stored edges, contracted by tasks of about CHUNK edges each."""
-    return edges.coalesce(max(1, -(-edges.count() // CHUNK))).mapInArrow(_contract, "u long, v long")
+def _contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """Stored edges, contracted by tasks of about so many edges each."""
+    return edges.coalesce(max(1, -(-edges.count() // chunk))).mapInArrow(lambda it: _contract(it, chunk), "u long, v long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -69,10 +69,10 @@ def _stars_only(edges: DataFrame) -> bool:
     return not node.where("low < u AND high <> low").limit(1).count()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(node, component): the least node of each component, for every node of edges (u, v)."""
-    now = stored(_contracted(stored(edges.where("u <> v").select("u", "v"))))
+    now = stored(_contracted(stored(edges.where("u <> v").select("u", "v")), chunk))
     while not _stars_only(now):
-        now = stored(_contracted(stored(_star(_star(now, True), False))))
+        now = stored(_contracted(stored(_star(_star(now, True), False)), chunk))
     leaves = now.groupBy("u", "v").agg(F.lit(1).alias("one")).select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
