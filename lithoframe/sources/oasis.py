@@ -6,7 +6,7 @@ by Spark's binary reader, one task each, so a corpus of files is parallel; a sin
 that reader. Records with free magnification or angle, trapezoids and extension geometry are an error, as are
 unresolved names. write() makes one file per top cell in the tasks that hold its rows.
 
-Empty files and files of another format are an error that names the path; an empty folder gives an empty table.
+Files of another format are an error that names the path; Spark's binary reader skips files of no bytes.
 """
 
 from __future__ import annotations
