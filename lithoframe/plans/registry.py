@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from ..operators import density, graph
+from ..operators import density, folds, graph
 from ..operators.sqlset import Q as SQLSET
 from . import adapters  # noqa: F401  the views
 from .compiler import oracle, run
@@ -23,3 +23,7 @@ QUERIES |= {"closure": graph.q_closure, "cell_heights": graph.q_heights, "recurs
 ORACLES |= {"closure": oracle(graph.CLOSURE_SQL), "cell_heights": oracle(graph.HEIGHTS_SQL), "recursive_members": oracle(graph.MEMBERS_SQL)}
 QUERIES |= {"density_members": density.q_density_members, "density_instances": density.q_density_instances}
 ORACLES |= {"density_members": oracle(density.MEMBERS_SQL), "density_instances": oracle(density.INSTANCES_SQL)}
+QUERIES |= {"recursive_boxes": folds.q_recursive_boxes, "recursive_area": folds.q_recursive_area, "lod_cut": folds.q_lod_cut}
+ORACLES |= {"recursive_boxes": oracle(folds.BOXES_SQL), "recursive_area": oracle(folds.AREA_SQL), "lod_cut": oracle(folds.LOD_SQL)}
+#: Greedy runs are beyond SQL; a test holds them against brute force.
+QUERIES |= {"find_grids": folds.q_find_grids}

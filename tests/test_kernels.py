@@ -21,7 +21,7 @@ def test_clip_of_a_rectangle_is_its_intersection(x, y, u, v, w, h, a, b):
 
 
 def test_clip_truncates_toward_zero_and_keeps_what_is_inside():
-    assert clip_polygon([(-3, -5), (4, 0), (-3, 5)], (0, -10, 10, 10)) == [(0, 2), (0, -3), (4, 0)] or area2(clip_polygon([(-3, -5), (4, 0), (-3, 5)], (0, -10, 10, 10))) > 0
+    assert set(clip_polygon([(-3, -5), (4, 0), (-3, 5)], (0, -10, 10, 10))) == {(0, -3), (4, 0), (0, 2)}
     triangle = [(0, 0), (9, 1), (3, 7)]
     assert set(clip_polygon(triangle, (-9, -9, 99, 99))) == set(triangle)
     assert clip_polygon(triangle, (50, 50, 60, 60)) == []
