@@ -18,9 +18,9 @@ def _toward_zero(a: int, b: int) -> int:
 
 
 def clip_polygon(pts: list[tuple[int, int]], box: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """pts inside the box, cut at one side after the other; crossings truncate toward zero. Fewer than 3 corners: nothing."""
+    """pts inside the box, cut at the left, bottom, right and top; crossings truncate toward zero. Fewer than 3 corners: nothing."""
     x0, y0, x1, y1 = box
-    for axis, at, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+    for axis, at, sign in ((0, x0, 1), (1, y0, 1), (0, x1, -1), (1, y1, -1)):
         cut: list[tuple[int, int]] = []
         for a, b in zip(pts[-1:] + pts[:-1], pts, strict=True):
             in_a, in_b = (a[axis] - at) * sign >= 0, (b[axis] - at) * sign >= 0
