@@ -209,10 +209,10 @@ class Matcher:
 
 def lexicon(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems of docs (doc_id, y, text) that toxic documents hold and others hardly ever."""
-    bag = docs.select("doc_id", "y", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("bag"))
-    # copies would pass their own words off as terms: of texts with the same least word hash one is read
-    once = bag.groupBy(F.array_min(F.transform("bag", lambda w: F.xxhash64(w))).alias("g")).agg(F.min(F.struct("doc_id", "y", "bag")).alias("d"))
-    each = once.select("d.doc_id", "d.y", F.explode("d.bag").alias("w")).where("length(w) BETWEEN 3 AND 40")
+    # copies would pass their own words off as terms: of equal texts with equal labels one is read
+    once = docs.groupBy(F.xxhash64("text"), F.length("text"), "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    bag = docs.join(once, "doc_id").select("doc_id", "y", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("bag"))
+    each = bag.select("doc_id", "y", F.explode("bag").alias("w")).where("length(w) BETWEEN 3 AND 40")
     stem = F.explode(F.filter(F.transform(F.array(*(F.lit(n) for n in STEMS)), lambda n: F.when(F.length("w") > n, F.col("w").substr(F.lit(1), n))), lambda s: s.isNotNull()))
 
     def kept(df: DataFrame, least: int) -> list:

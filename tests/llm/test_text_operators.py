@@ -235,6 +235,14 @@ def test_automaton_equals_edit_distance():
         assert g == (1 + min(fit) if fit else 0), (w, g, fit)
 
 
+def test_lexicon_reads_every_different_text(spark):
+    common = "alpha beta gamma delta"  # shared by all, so that the texts agree in their least word hash
+    rows = [(i, int(i % 6 == 0), f"{common} own{i}" + " blaggard" * (i % 6 == 0)) for i in range(60)]
+    rows += [(100 + i, 1, f"{common} copied") for i in range(9)]
+    words, stems = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, y int, text string"))
+    assert (words, stems) == (["blaggard"], [])
+
+
 def test_toxicity_on_planted_words(spark, edges):
     r = random.Random(3)
     vocab = [f"{a}{b}" for a in ("ner", "tol", "sim", "kad", "vor") for b in ("an", "est", "il", "o", "uk", "ita")]
