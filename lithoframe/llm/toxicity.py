@@ -1,14 +1,14 @@
 """Operator 8: toxicity scores from a learnt lexicon, matched by Levenshtein automata.
 
 The lexicon holds words, and stems with any ending, whose documents are labelled toxic nearly always. The
-words form a trie; the Levenshtein automata of all of them, intersected with the trie, become one
+words form a trie; the Levenshtein automata of all of them, intersected with the trie, are one
 deterministic automaton, which reads all words of a chunk of documents side by side: a table lookup a
-character. Short words must match exactly, longer ones within one edit, long ones within two. Around each
+character. Its states are made when a word first needs them and dropped when there are too many. Short words must match exactly, longer ones within one edit, long ones within two. Around each
 match a window of characters is read: quotation marks on both sides, or reporting words before it, mark a
 quotation, and forms of address mark abuse. A logistic model of these counts gives the score.
 
-Labels are learnt from SAMPLE rows at most, chosen by a hash of the id; the lexicon has TERMS entries at
-most. Every document is scored over its whole text.
+Labels are learnt from SAMPLE rows at most, chosen by a hash of the id; the lexicon has all words that their
+different texts bear out. Every document is scored over its whole text.
 
 Edge cases: null and empty texts have no matches and get the score of such documents; repeated rows get
 equal scores; without labels, or with labels of one kind, the score is the smoothed share of label 1; null
@@ -18,6 +18,7 @@ labels are not learnt from; extra columns are ignored; empty tables give an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from .flat import chunks
 from .quality import remainder, sample
 
 SAMPLE = 20_000
-#: Entries of the lexicon, at most; documents an entry must have been seen in, and share of them that is toxic.
-TERMS, LEAST_DOCS, LEAST_SHARE = 400, 4, 0.95
+#: Documents an entry of the lexicon must have been seen in, and share of them that is toxic.
+LEAST_DOCS, LEAST_SHARE = 4, 0.95
 STEMS = (4, 5, 6)
 CONTEXT = 48
 #: Marks of quotation; reporting words; forms of address.
@@ -49,10 +50,16 @@ _IN[0x2000:0x2070] = _IN[0x3000:0x3003] = False
 class Automaton:
     """All words of a lexicon within their edits, and stems with any ending, as one table.
 
-    States are sets of (trie node, edits); step[state, class of character] is the next one and 0 is dead.
-    best[state] is 1 + the least edits of a word that ends there, 0 if none does.
+    States are sets of (trie node, edits); step[state, class of character] is the next one, 0 is dead and -1
+    not made yet. best[state] is 1 + the least edits of a word that ends there, 0 if none does. A state is made
+    when a word comes to it, so the size of the lexicon is not bounded; beyond `most` states, or CELLS of the
+    table, all are dropped and made anew.
     """
 
+    CELLS = 16_000_000
+    #: Words read between two looks at the size.
+    TOGETHER = 50_000
+
     def __init__(self, terms: list[str], stems: list[str] = (), most: int = 60_000):
         self.terms = terms
         children, depth_edits, ends = [{}], [0], {}
@@ -112,29 +119,39 @@ class Automaton:
             fit = [e for node, e in state if node != top and any(e <= a and not s for a, s in ends.get(node, ()))]
             return 1 if any(n == top for n, _ in state) else 1 + min(fit) if fit else 0
 
-        start = closed({0: 0})
-        known, rows, queue = {frozenset(): 0, start: 1}, [np.zeros(len(alphabet) + 1, np.int32)], [start]
-        self.best = [0, best(start)]
-        while queue:
-            state = queue.pop(0)
-            own = {c for n, _ in state if n != top for c in children[n]}
-            row, other = np.zeros(len(alphabet) + 1, np.int32), None
-            for i, c in enumerate([None, *alphabet]):
-                nxt = move(state, c) if c in own else other if other is not None else move(state, None)
-                if c not in own:
-                    other = nxt
-                if nxt not in known:
-                    if len(known) >= most:
-                        raise ValueError("the lexicon makes too large an automaton; use fewer or shorter terms")
-                    known[nxt] = len(known)
-                    self.best.append(best(nxt))
-                    queue.append(nxt)
-                row[i] = known[nxt]
-            rows.append(row)
-        self.step, self.best = np.array(rows), np.array(self.best, np.int8)
+        self._move, self._best, self._start, self._alphabet = move, best, closed({0: 0}), [None, *alphabet]
+        self.most = max(2, min(most, self.CELLS // len(self._alphabet)))
+        self._reset()
+
+    def _reset(self) -> None:
+        self._states, self._known = [frozenset(), self._start], {frozenset(): 0, self._start: 1}
+        self.step = np.full((1024, len(self._alphabet)), -1, np.int32)
+        self.step[0] = 0
+        self.best = np.zeros(1024, np.int8)
+        self.best[1] = self._best(self._start)
+
+    def _make(self, state: int, c: int) -> None:
+        nxt = self._move(self._states[state], self._alphabet[c])
+        if nxt not in self._known:
+            self._known[nxt] = n = len(self._states)
+            self._states.append(nxt)
+            if n == len(self.step):
+                self.step = np.concatenate([self.step, np.full_like(self.step, -1)])
+                self.best = np.concatenate([self.best, np.zeros_like(self.best)])
+            self.best[n] = self._best(nxt)
+        self.step[state, c] = self._known[nxt]
 
     def run(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """best of each word text[start:end] (lower-cased code points)."""
+        out = np.zeros(len(start), np.int8)
+        for i in range(0, len(start), self.TOGETHER):
+            if len(self._states) > self.most:
+                self._reset()
+            part = slice(i, i + self.TOGETHER)
+            out[part] = self._run(text, start[part], end[part])
+        return out
+
+    def _run(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.zeros(len(start), np.int8)
         alive, state, at = np.arange(len(start)), np.ones(len(start), np.int32), start.copy()
         while len(alive):
@@ -143,8 +160,14 @@ class Automaton:
                 out[alive[done]] = self.best[state[done]]
                 alive, state, at = alive[~done], state[~done], at[~done]
                 continue
-            state = self.step[state, self.cls[text[at]]]
-            at = at + 1
+            c = self.cls[text[at]]
+            nxt = self.step[state, c]
+            if (new := nxt < 0).any():
+                width = len(self._alphabet)
+                for k in np.unique(state[new].astype(np.int64) * width + c[new]).tolist():
+                    self._make(*divmod(k, width))
+                nxt = self.step[state, c]
+            state, at = nxt, at + 1
             live = state > 0
             if not live.all():
                 alive, state, at = alive[live], state[live], at[live]
@@ -207,6 +230,11 @@ class Matcher:
         return np.column_stack([np.log1p(total), np.log1p(edited), np.log1p(short), np.log1p(per(quoted)), np.log1p(per(addressed & plain)), np.minimum(1, 20 * total / np.maximum(count, 1)), total > 0])
 
 
+@lru_cache(2)
+def matcher(terms: tuple[str, ...], stems: tuple[str, ...]) -> Matcher:
+    return Matcher(list(terms), list(stems))
+
+
 def lexicon(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems of docs (doc_id, y, text) that toxic documents hold and others hardly ever."""
     # copies would pass their own words off as terms: of equal texts with equal labels one is read
@@ -216,16 +244,16 @@ def lexicon(docs: DataFrame) -> tuple[list[str], list[str]]:
     stem = F.explode(F.filter(F.transform(F.array(*(F.lit(n) for n in STEMS)), lambda n: F.when(F.length("w") > n, F.col("w").substr(F.lit(1), n))), lambda s: s.isNotNull()))
 
     def kept(df: DataFrame, least: int) -> list:
-        return df.where((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * F.col("docs"))).orderBy(F.desc("toxic"), "w").limit(2 * TERMS).collect()
+        return df.where((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * F.col("docs"))).orderBy(F.desc("toxic"), "w").collect()
 
     by_word = kept(each.groupBy("w").agg(F.sum("y").alias("toxic"), F.count("*").alias("docs")), LEAST_DOCS)
     found = each.select("doc_id", "y", "w", stem.alias("s")).groupBy(F.col("s").alias("w")).agg(F.count_distinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("toxic"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("w").alias("endings"))
-    stems: list[str] = []
+    stems: dict[str, None] = {}
+    begins = lambda w: any(w[:n] in stems for n in STEMS)
     for s in sorted((r["w"] for r in kept(found.where("endings >= 3"), LEAST_DOCS + 2)), key=lambda s: (len(s), s)):
-        if not any(s.startswith(t) for t in stems):
-            stems.append(s)
-    words = [r["w"] for r in by_word if not any(r["w"].startswith(s) for s in stems)]
-    return words[:TERMS], stems[:TERMS]
+        if not begins(s):
+            stems[s] = None
+    return [r["w"] for r in by_word if not begins(r["w"])], list(stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -254,11 +282,11 @@ class Toxicity:
         self.terms, self.stems, self.weights, self._matcher = terms, stems, weights, None
 
     def __getstate__(self):
-        return self.__dict__ | {"_matcher": None}  # each worker builds the automaton anew
+        return self.__dict__ | {"_matcher": None}  # each worker builds the automaton, once for all its tasks
 
     @property
     def matcher(self) -> Matcher:
-        self._matcher = self._matcher or Matcher(self.terms, self.stems)
+        self._matcher = self._matcher or matcher(tuple(self.terms), tuple(self.stems))
         return self._matcher
 
     def features(self, column: pa.Array) -> np.ndarray:

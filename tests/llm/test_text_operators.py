@@ -235,6 +235,32 @@ def test_automaton_equals_edit_distance():
         assert g == (1 + min(fit) if fit else 0), (w, g, fit)
 
 
+def test_levenshtein_automaton_of_a_large_lexicon():
+    r = random.Random(8)
+    terms = sorted({"".join(r.choice("abcdeghilmnoprstu") for _ in range(r.randrange(4, 13))) for _ in range(600)})
+    words = []
+    for w in r.sample(terms, 150):
+        i = r.randrange(len(w))
+        words += [w, w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[::-1]]
+    text = np.array([ord(c) for c in "".join(words)], np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    want = []
+    for w in words:
+        fit = [e for t in terms if abs(len(t) - len(w)) <= 2 and (e := edit_distance(t, w)) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+        want.append(1 + min(fit) if fit else 0)
+    for most in (60_000, 50):
+        auto = toxicity.Automaton(terms, most=most)
+        auto.TOGETHER = 40  # states are dropped between the blocks
+        assert auto.run(text, end - [len(w) for w in words], end).tolist() == want
+
+
+def test_lexicon_is_not_capped(spark):
+    rows = [(i, 1, " ".join(f"{c}{d}{n}term" for c in "abcdefghij" for d in "klmnopqrst" for n in "uvwxyz")) for i in range(5)]
+    rows = [(i, y, f"{t} own{i}") for i, y, t in rows]
+    words, _ = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, y int, text string"))
+    assert len(words) == 600
+
+
 def test_lexicon_reads_every_different_text(spark):
     common = "alpha beta gamma delta"  # shared by all, so that the texts agree in their least word hash
     rows = [(i, int(i % 6 == 0), f"{common} own{i}" + " blaggard" * (i % 6 == 0)) for i in range(60)]
