@@ -113,16 +113,28 @@ def find_grids(points: DataFrame, *keys: str) -> DataFrame:
 _PLACES = "SELECT parent, child, px, py, rot, flip, na, nb, vax, vby FROM deep_place"
 
 
-def q_recursive_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_recursive_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of every cell."""
     places = run(spark, sf_dir, _PLACES)
     own = run(spark, sf_dir, "SELECT cell, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM deep_rect")
-    return recursive_boxes(places, own, heights(places)).where(f"cell < {3 * _L}")
+    return recursive_boxes(places, own, heights(places))
 
 
-def q_recursive_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_recursive_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels that BOXES_SQL lists: root, regions and nations."""
+    return q_recursive_boxes_all(spark, sf_dir).where(f"cell < {3 * _L}")
+
+
+def q_recursive_area_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of every cell by layer."""
     places = run(spark, sf_dir, _PLACES)
     own = run(spark, sf_dir, "SELECT cell, layer, w * h AS area FROM deep_rect")
-    return recursive_area(places, own, heights(places)).where(f"cell < {3 * _L}").select("cell", "layer", F.col("area").cast("long").alias("area"))
+    return recursive_area(places, own, heights(places)).select("cell", "layer", F.col("area").cast("long").alias("area"))
+
+
+def q_recursive_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels that AREA_SQL lists: root, regions and nations."""
+    return q_recursive_area_all(spark, sf_dir).where(f"cell < {3 * _L}")
 
 
 def q_lod_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,11 +98,16 @@ HEIGHTS_SQL = """WITH RECURSIVE up(cell, h) AS (SELECT DISTINCT child, 0 FROM de
 SELECT height, count(*) AS cells FROM (SELECT cell, max(h) AS height FROM up GROUP BY cell) q GROUP BY height"""
 
 
-def q_recursive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_recursive_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of every cell."""
     places = run(spark, sf_dir, "SELECT parent, child, na, nb FROM deep_place")
     own = run(spark, sf_dir, "SELECT cell, count(*) AS members FROM deep_rect GROUP BY cell")
-    total = recursive_members(places, own, heights(places))
-    return total.where(f"cell < {3 * 100_000_000_000}").select("cell", "members")
+    return recursive_members(places, own, heights(places)).select("cell", "members")
+
+
+def q_recursive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels that MEMBERS_SQL lists: root, regions and nations."""
+    return q_recursive_members_all(spark, sf_dir).where(f"cell < {3 * _L}")
 
 
 _L = 100_000_000_000

@@ -27,3 +27,5 @@ QUERIES |= {"recursive_boxes": folds.q_recursive_boxes, "recursive_area": folds.
 ORACLES |= {"recursive_boxes": oracle(folds.BOXES_SQL), "recursive_area": oracle(folds.AREA_SQL), "lod_cut": oracle(folds.LOD_SQL)}
 #: Greedy runs are beyond SQL; a test holds them against brute force.
 QUERIES |= {"find_grids": folds.q_find_grids}
+#: The folds of every cell, which their SQL does not list; a test holds them against brute force.
+QUERIES |= {"recursive_members_all": graph.q_recursive_members_all, "recursive_boxes_all": folds.q_recursive_boxes_all, "recursive_area_all": folds.q_recursive_area_all}

@@ -39,3 +39,41 @@ def test_boxes_and_areas(spark):
     assert boxes == {3: (0, 0, 10, 4), 2: (0, 0, 15, 9), 1: (0, 0, 100, 50)}
     areas = {(r.cell, r.layer): r.area for r in folds.recursive_area(places, own.selectExpr("cell", "layer", "(x1 - x0) * (y1 - y0) AS area"), tall).collect()}
     assert areas == {(3, 1): 40, (2, 1): 40, (2, 2): 1, (1, 1): 280, (1, 2): 7}
+
+
+def test_folds_return_every_cell(spark):
+    from lithoframe.plans import registry
+    from lithoframe.plans.compiler import run
+
+    sf = "/root/testdata/sf0.001"
+    members, area, box = Counter(), Counter(), {}
+
+    def grow(cell, xs, ys):
+        old = box.get(cell)
+        xs, ys = (xs, ys) if old is None else ([*xs, old[0], old[2]], [*ys, old[1], old[3]])
+        box[cell] = (min(xs), min(ys), max(xs), max(ys))
+
+    for r in run(spark, sf, "SELECT cell, layer, x, y, w, h FROM deep_rect").collect():
+        members[r.cell] += 1
+        area[r.cell, r.layer] += r.w * r.h
+        grow(r.cell, (r.x, r.x + r.w), (r.y, r.y + r.h))
+    cells = set(members)
+    layers = {k for _, k in area}
+    # a cell's number grows with its level, so the parents of the deepest cells come first
+    for p in sorted(run(spark, sf, "SELECT parent, child, px, py, rot, flip, na, nb, vax, vby FROM deep_place").collect(), key=lambda p: -p.parent):
+        assert p.parent < p.child
+        cells |= {p.parent, p.child}
+        members[p.parent] += p.na * p.nb * members[p.child]
+        for k in [k for k in layers if (p.child, k) in area]:
+            area[p.parent, k] += p.na * p.nb * area[p.child, k]
+        if p.child in box:
+            x0, y0, x1, y1 = box[p.child]
+            turn = (lambda x, y: (x, y), lambda x, y: (-y, x), lambda x, y: (-x, -y), lambda x, y: (y, -x))[p.rot]
+            at = [turn(x, -y if p.flip else y) for x in (x0, x1) for y in (y0, y1)]
+            steps = [(i * p.vax, j * p.vby) for i in (0, p.na - 1) for j in (0, p.nb - 1)]
+            grow(p.parent, [p.px + x + dx for x, _ in at for dx, _ in steps], [p.py + y + dy for _, y in at for _, dy in steps])
+    got = {n: registry.QUERIES[f"recursive_{n}_all"](spark, sf).collect() for n in ("members", "boxes", "area")}
+    assert max(cells) > 3 * 100_000_000_000
+    assert sorted(tuple(r) for r in got["members"]) == sorted((c, members[c]) for c in cells)
+    assert sorted(tuple(r) for r in got["boxes"]) == sorted((c, *b) for c, b in box.items())
+    assert sorted(tuple(r) for r in got["area"]) == sorted((c, k, a) for (c, k), a in area.items())
