@@ -2,11 +2,14 @@
 
 Words are runs of letters and digits, lower-cased. Numbers, names (capitalised words inside a sentence,
 runs of them as one) and units after a number become typed placeholders, so a question whose values were
-exchanged has the same template. Windows of WINDOW template tokens with enough literal words are looked up
+exchanged has the same template. Two further readings find what that one misses: one takes capitalised words
+that open a sentence as names too (a name there is exchanged like any other), one keeps every word and number
+as it is (copies in other case). A pair is given by the first reading that finds it. Windows of WINDOW template tokens with enough literal words are looked up
 by hash in the benchmark's windows. Matches on one diagonal are merged, and their slots are checked: over
 an item, a benchmark value must always stand for one value of the document and the other way round; else
 only the part of the run up to the contradiction counts. A document is contaminated by an item if a
-consistent run covers at least LONG tokens, or half of the item and a whole window. Items of fewer than
+consistent run covers at least LONG tokens, or half of the item and a whole window; runs on diagonals at most
+NEAR apart that follow each other in both texts are one run. Items of fewer than
 WINDOW tokens are one window of their own length, if they have MIN_LITERAL literal words.
 
 The benchmark's windows go to the workers in blocks of a stated size, one scan of the documents a block.
@@ -29,6 +32,8 @@ from .common import table
 from .flat import _ODD, LOWER, chunks, mix64, segment_hash
 
 WINDOW, LONG, MIN_LITERAL = 8, 13, 4
+#: Words put in or left out between two matched runs that are read as one.
+NEAR = 4
 #: Benchmark windows sent to the workers at once, at most (each 24 bytes).
 BLOCK = 200_000
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F))
@@ -49,17 +54,23 @@ _UNITS = np.sort(np.array([_hash_of(u) for u in UNITS], np.uint64))
 
 def templates(data: np.ndarray, off: np.ndarray):
     """doc, template hash and value hash of each template token; placeholders keep the value they stand for."""
+    return readings(data, off)[0]
+
+
+def readings(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """templates(), the same with words that open a sentence as names, and all words as they are."""
     n = len(data)
     z = np.zeros(0, np.uint64)
+    none = [(np.zeros(0, np.int64), z, z)] * 3
     if not n:
-        return np.zeros(0, np.int64), z, z
+        return none
     inside = _WORD[data]
     prev = np.empty(n, bool)
     prev[0], prev[1:] = False, inside[:-1]
     prev[off[:-1][off[:-1] < off[1:]]] = False
     start = np.flatnonzero(inside & ~prev)
     if not len(start):
-        return np.zeros(0, np.int64), z, z
+        return none
     doc = np.searchsorted(off[:-1], start, "right") - 1
     value = segment_hash(LOWER[data], start, inside)
     length = np.add.reduceat(inside.astype(np.int64), start)
@@ -78,17 +89,19 @@ def templates(data: np.ndarray, off: np.ndarray):
     opens[1:] |= stop[start[1:]] != stop[end[:-1]]
     second = data[np.minimum(start + 1, n - 1)]
     upper = ((first >= 65) & (first < 91)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    name = upper & ~opens & ~number
     after = np.zeros(len(start), bool)
     after[1:] = number[:-1] & same[1:]
     unit = after & np.isin(value, _UNITS)
     glued = after & number & (gap == 1) & np.isin(data[np.maximum(start - 1, 0)], np.frombuffer(b".,:/-", np.uint8))
-    chained = np.zeros(len(start), bool)
-    chained[1:] = name[1:] & name[:-1] & same[1:]
-    head = np.flatnonzero(~(glued | chained))
-    token = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, value)))[head]
-    whole = np.add.reduceat(value, head) if len(head) else z
-    return doc[head], token, whole
+    out = []
+    for name in (upper & ~opens & ~number, upper & ~number):
+        chained = np.zeros(len(start), bool)
+        chained[1:] = name[1:] & name[:-1] & same[1:] & ~opens[1:]
+        head = np.flatnonzero(~(glued | chained))
+        token = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, value)))[head]
+        whole = np.add.reduceat(value, head) if len(head) else z
+        out.append((doc[head], token, whole))
+    return [*out, (doc, value, value)]
 
 
 def _windows(token: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +115,13 @@ def _windows(token: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Benchmark:
-    """Window hashes of some items, for looking up, and the items' tokens."""
+    """Window hashes of some items in one of the readings, for looking up, and the items' tokens."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], reading: int = 0):
         self.items, hashes, where = [], {}, {}
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            _, token, value = templates(raw, np.array([0, len(raw)]))
+            _, token, value = readings(raw, np.array([0, len(raw)]))[reading]
             if not len(token):
                 continue
             k = len(self.items)
@@ -144,22 +157,47 @@ class Benchmark:
         for (d, k), diagonals in hits.items():
             item, it, iv = self.items[k]
             best, slots = 0, 0
-            for shift, spans in diagonals.items():
-                runs = []
-                for j, w in sorted(spans):
-                    if runs and j <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], j + w)
-                    else:
-                        runs.append([j, j + w])
-                for a, b in runs:
-                    n, s = consistent(it[a:b], iv[a:b], token[a + shift : b + shift], value[a + shift : b + shift])
-                    if n > best:
-                        best, slots = n, s
+            for at, there in chained_runs(diagonals):
+                n, s = consistent(it[at], iv[at], token[there], value[there])
+                if n > best:
+                    best, slots = n, s
             if best >= min(LONG, len(it)) or (best >= WINDOW and 2 * best >= len(it)):
                 out.append((d, item, best, best / len(it), slots))
         return out
 
 
+def chained_runs(diagonals: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in item and document of every run of windows, and of the longest chain of runs that ends in it."""
+    runs: dict[int, list[list[int]]] = {}
+    for shift, spans in diagonals.items():
+        own = runs[shift] = []
+        for j, w in sorted(spans):
+            if own and j <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], j + w)
+            else:
+                own.append([j, j + w])
+    # (end, shift) of a run: tokens of its best chain, the run before it there, and where it starts then
+    best: dict[tuple[int, int], tuple[int, tuple[int, int] | None, int]] = {}
+    for b, shift, a in sorted((b, shift, a) for shift, own in runs.items() for a, b in own):
+        best[b, shift] = (b - a, None, a)
+        for near in range(shift - NEAR, shift + NEAR + 1):
+            for _, e in runs.get(near, ()) if near != shift else ():
+                start = max(a, e, e + near - shift)
+                if e < b and start < b and (e, near) in best and best[e, near][0] + b - start > best[b, shift][0]:
+                    best[b, shift] = (best[e, near][0] + b - start, (e, near), start)
+    for shift, own in runs.items():
+        for a, b in own:
+            at = np.arange(a, b)
+            yield at, at + shift
+            parts, key = [], (b, shift)
+            while key:
+                _, before, start = best[key]
+                parts.append((np.arange(start, key[0]), key[1]))
+                key = before
+            if len(parts) > 1:
+                yield np.concatenate([p for p, _ in parts[::-1]]), np.concatenate([p + k for p, k in parts[::-1]])
+
+
 def consistent(it: np.ndarray, iv: np.ndarray, dt: np.ndarray, dv: np.ndarray) -> tuple[int, int]:
     """Longest part of a matched run whose slots map values one to one, and its slots."""
     slots = np.flatnonzero((it == NUMBER) | (it == NAME) | (it == UNIT)).tolist()
@@ -185,11 +223,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
         rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            bm = Benchmark(rows)
+            bms = [Benchmark(rows, k) for k in range(3)]
             for batch in batches:
                 found = []
                 for lo, _, data, off in chunks(batch.column(1)):
-                    found += [(lo + d, *rest) for d, *rest in bm.matches(*templates(data, off))]
+                    first: dict[tuple[int, int], tuple] = {}
+                    for own in [bm.matches(*r) for bm, r in zip(bms, readings(data, off), strict=True)]:
+                        new = {}
+                        for d, item, *rest in own:  # an item that is there twice keeps its longest cover
+                            new[d, item] = max(new.get((d, item), ()), tuple(rest))
+                        first = new | first
+                    found += [(lo + d, item, *rest) for (d, item), rest in first.items()]
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 cols = [pa.array([f[i] for f in found], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "n_tokens", "share", "n_slots"])

@@ -293,6 +293,19 @@ def test_toxicity_on_planted_words(spark, edges):
     assert all(x.score == 0.5 for x in toxicity.score(edges, none).collect())
 
 
+def test_decontamination_of_opening_names_other_case_and_insertions(spark):
+    names = "James has 3 dogs. James has 2 cats. James buys 5 fish. James gives 1 dog away. How many pets does James have?"
+    mixed = "The river Thames flows past Oxford and then past London before it meets the wide grey sea near Southend."
+    plain = "every green kettle sings softly while seven tired sailors carry heavy wooden boxes over narrow bridges towards quiet harbours before winter storms arrive from distant frozen northern islands"
+    w = plain.split()
+    split = " ".join([*w[:9], "very", *w[9:12], "odd", *w[12:20], "old", *w[20:]])
+    bench = spark.createDataFrame([(1, names), (2, mixed), (3, plain)], "item_id long, text string")
+    docs = [names.replace("James", "Maria"), mixed.upper(), mixed.lower(), split, "Maria has nothing in common with any of these questions at all, and neither has London."]
+    got = {(r.doc_id, r.item_id): r.n_tokens for r in decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 2), (3, 3)}
+    assert got[0, 1] == 23 and got[3, 3] >= 17
+
+
 # --- 10: extraction
 
 
