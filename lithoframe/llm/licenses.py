@@ -3,8 +3,8 @@
 Texts are normalised to runs of letters and digits, lower-cased. Word bigrams that occur in a template mark
 candidate regions of a document; a region's bigrams are compared with the template's as multisets. A Dice
 coefficient of at least LEAST needs sizes within LEAST / (2 - LEAST) of each other, so templates and
-regions outside these bounds are never compared. Regions of a template are runs of its bigrams with gaps
-of at most GAP words; a run that is longer than the bound is read in windows of the template's length.
+regions outside these bounds are never compared. Regions of a template are all spans within the bounds that
+begin and end with one of its bigrams, whatever lies between; the best one begins and ends so.
 
 Edge cases: null and empty texts match nothing; repeated rows give one row for each template found; ties go
 to the earliest region; extra columns are ignored; texts are read whole; empty tables give empty results.
@@ -24,7 +24,7 @@ from .common import table
 from .decontam import _WORD
 from .flat import _ODD, LOWER, chunks, mix64, segment_hash
 
-LEAST, GAP = 0.8, 6
+LEAST = 0.8
 #: Wording of licences and notices.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -92,24 +92,22 @@ class Templates:
         bound, out = self.least / (2 - self.least), []
         for (d, t), places in hits.items():
             n, best = self.sizes[t], (0.0, 0, 0)
-            if len(places) < bound * n / 2:
-                continue
-            runs, start = [], 0
-            for i in range(1, len(places) + 1):
-                if i == len(places) or places[i] - places[i - 1] > GAP:
-                    runs.append(places[start:i])
-                    start = i
-            for run in runs:
-                spans = [(run[0], run[-1] + 1)]
-                if spans[0][1] - spans[0][0] > n / bound:
-                    spans = [(p, run[min(np.searchsorted(run, p + n), len(run)) - 1] + 1) for p in run]
-                for a, b in spans:
-                    if not bound * n <= b - a <= n / bound:
-                        continue
-                    common = sum((Counter(h[a:b].tolist()) & self.bags[t]).values())
-                    dice = 2 * common / (b - a + n)
+            bag, keys = self.bags[t], h[places].tolist()
+            # a span of L bigrams with c in common has 2 c >= least (L + n) and L >= c, so c >= bound n
+            reach = np.searchsorted(places, np.array(places) + n / bound, "right")
+            for i, p in enumerate(places):
+                if reach[i] - i < bound * n - 1e-9:
+                    continue
+                left, common = dict(bag), 0
+                for j in range(i, reach[i]):
+                    if not left[keys[j]]:
+                        continue  # only a bigram that counts makes a longer span better
+                    left[keys[j]] -= 1
+                    common += 1
+                    size = places[j] + 1 - p
+                    dice = 2 * common / (size + n)
                     if dice >= self.least and dice > best[0]:
-                        best = (dice, a - int(first[d]), b - a + 1)
+                        best = (dice, p - int(first[d]), size + 1)
             if best[0]:
                 out.append((d, self.names[t], *best))
         return out

@@ -155,6 +155,19 @@ def test_battery_tells_random_tokens_from_words():
     assert not any(secrets.discoveries([(0, len(t), secrets.p_value(t))]) for t in words)
 
 
+def test_license_scan_reads_across_gaps(spark):
+    rows, want = [], {}
+    for i, name in enumerate(("MIT", "Apache-2.0 header", "BSD-2-Clause", "GPL-3.0 header", "ISC")):
+        w = re.findall(r"[^\W_]+", licenses.TEMPLATES[name])
+        half, n = len(w) // 2, len(w) - 1
+        rows += [(2 * i, " ".join(["before", *w[:half], *"five words from somewhere else".split(), *w[half:], "after"]))]
+        want[2 * i, name] = 2 * (n - 1) / (n + n + 5)
+        rows += [(2 * i + 1, " ".join([*w[:half], *"five words from somewhere else".split(), *w[half + 5 :]]))]
+        want[2 * i + 1, name] = 2 * (n - 6) / (n + n)
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got.get(k) for k, v in want.items() if v >= licenses.LEAST} == {k: pytest.approx(v) for k, v in want.items() if v >= licenses.LEAST}
+
+
 # --- 5: decontamination
 
 
