@@ -3,7 +3,7 @@
 The pre-tokens of a byte-level BPE are encoded independently of each other, so the ids of a text are the
 ids of its pre-tokens in a row. Chunks of documents are split into pre-tokens with array operations and
 only pre-tokens that the worker has not met are handed to the library. Documents with apostrophes before
-letters, or characters from U+0250 on, go to the library whole.
+letters, characters from U+0250 on, or the text of one of the library's added tokens go to it whole.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import pyarrow as pa
 from .flat import chunks, segment_hash
 
 LETTER, DIGIT, WHITE, OTHER = 1, 2, 3, 4
-#: The cache starts afresh beyond so many pre-tokens.
-CACHE = 1_200_000
+#: Bytes of the known pre-tokens' arrays beyond which a worker starts afresh, and of text encoded at a time.
+CACHE = 64 << 20
+CHUNK = 1 << 20
 
 
 def _kind(c: int) -> int:
@@ -39,7 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         # in a byte-level vocabulary each character of a token stands for one byte
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes_of = np.ones(max(vocab.values()) + 1, np.int64)
@@ -47,11 +48,13 @@ class Encoder:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        """No known pre-tokens: sorted hashes and their slots; ids of a slot are flat[starts[slot]:][:lengths[slot]]."""
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.lengths, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.flat, self.used = np.zeros(4096, np.uint32), 0
+
+    def _size(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.slots, self.starts, self.lengths, self.flat))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,19 +75,26 @@ class Encoder:
             out[i] = x
         return out
 
-    def _learn(self, hashes: list[int], texts: list[bytes]) -> np.ndarray:
+    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Slots of new pre-tokens; hashes ascend."""
         ids = self._encoded(texts)
-        base = len(self.lengths)
-        self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
-        n = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, *ids])
-        return np.arange(base, base + len(hashes))
+        n = np.array([len(x) for x in ids], np.int32)
+        slots = np.arange(self.n, self.n + len(n), dtype=np.int32)
+        total = int(n.sum())
+        while self.n + len(n) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[slots], self.lengths[slots] = self.used + np.cumsum(n) - n, n
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.n, self.used = self.n + len(n), self.used + total
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.slots = np.insert(self.keys, at, hashes), np.insert(self.slots, at, slots)
+        return slots
 
     def encode(self, column: pa.Array):
         """Yields (row, ids) of each text in order."""
-        for lo, hi, data, off in chunks(column, 4 << 20):
+        for lo, hi, data, off in chunks(column, CHUNK):
             yield from enumerate(self._chunk(column[lo:hi], data, off), lo)
 
     def _chunk(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -105,6 +115,12 @@ class Encoder:
         apostrophe = np.flatnonzero(data[:-1] == 39)
         if len(apostrophe):
             odd[doc_of(apostrophe[kind[apostrophe + 1] == LETTER])] = True
+        raw = data.tobytes()
+        for added in self.added:
+            place = raw.find(added)
+            while place >= 0:
+                odd[doc_of(place)] = True
+                place = raw.find(added, place + 1)
         lead = (data & 0xC0) != 0x80
         start = np.empty(n, bool)
         start[0] = True
@@ -123,31 +139,27 @@ class Encoder:
         doc = doc_of(at)
         h = segment_hash(data, at)
         u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        if self._size() > CACHE:
             self._fresh()
-        keys = u.tolist()
-        get = self.known.get
-        slot = np.array([get(k, -1) for k in keys], np.int64)
+        slot = np.full(len(u), -1, np.int64)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
+            slot = np.where(self.keys[place] == u, self.slots[place], slot)
         new = np.flatnonzero(slot < 0)
         if len(new):
             new = new[~odd[doc[first[new]]]] if odd.any() else new
             stop = np.append(at[1:], n)
-            raw = data.tobytes()
-            ok, strings = [], []
-            for i in new.tolist():
-                f = first[i]
-                ok.append(keys[i])
-                strings.append(raw[at[f] : stop[f]])
-            slot[new] = self._learn(ok, strings)
+            if len(new):
+                slot[new] = self._learn(u[new], [raw[a:b] for a, b in zip(at[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
             rest = np.flatnonzero(slot < 0)  # only met first in a document that goes to the library whole
             if len(rest):
                 miss = np.isin(inv, rest) & ~odd[doc]
                 odd[np.unique(doc[miss])] = True
         slot = slot[inv]
-        size = np.where(slot >= 0, self.lengths[np.maximum(slot, 0)] if len(self.lengths) else 0, 0)
+        size = np.where(slot >= 0, self.lengths[np.maximum(slot, 0)], 0)
         total = np.cumsum(size)
-        src = np.repeat(np.where(slot >= 0, self.starts[np.maximum(slot, 0)] if len(self.starts) else 0, 0) - (total - size), size)
-        ids = self.flat[src + np.arange(int(total[-1]))] if len(self.flat) else np.zeros(0, np.uint32)
+        src = np.repeat(np.where(slot >= 0, self.starts[np.maximum(slot, 0)], 0) - (total - size), size)
+        ids = self.flat[src + np.arange(int(total[-1]))]
         tokens = np.bincount(doc, weights=size, minlength=docs).astype(np.int64)
         cut = np.concatenate(([0], np.cumsum(tokens)))
         out = [ids[cut[i] : cut[i + 1]] for i in range(docs)]
