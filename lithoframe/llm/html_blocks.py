@@ -7,10 +7,14 @@ two directions give every block the whole page as context, and each block is lab
 The network is trained here, on pages that a generator writes in many layouts with known labels; the
 weights are the same in every run and go to the workers with the function.
 
-Scripts, styles, templates, comments and form controls are never text. Edge cases: null and empty html give
-an empty text; unclosed and stray tags are tolerated, a p ends at the next block; character references are
-decoded (also without a semicolon, as browsers do), broken ones stay as they are; repeated rows give equal
-rows; very long pages are read whole; an empty table gives an empty result; extra columns are ignored.
+Scripts, styles, templates, comments and form controls are never text. A page is read once from left to right
+in time linear in its length, however broken its markup; paths hold every open element.
+
+Edge cases: null and empty html give an empty text; unclosed and stray tags are tolerated, a p ends at the next
+block and an open head at the first element or text that cannot be in it; a < that no > follows is text; from a
+tag whose quotes never close on, tags end at the first >; character references are decoded (also without a
+semicolon, as browsers do), broken ones stay as they are; repeated rows give equal rows; very long pages are
+read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +35,17 @@ from .common import table
 from .flat import words
 
 #: Fixed values of HTML: block-level elements, elements without content, elements whose content is not text.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title select option iframe object svg math head".split())
-CLOSES_P = BLOCKS - {"body", "html"}
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+RAW = frozenset("template select option".split())
+LITERAL = frozenset("script style textarea title iframe noembed noframes xmp".split())
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
+SCOPES = frozenset("table td th caption button object marquee template html".split())
+CLOSES_P = BLOCKS - {"body", "html", "noscript"}
+
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_ENDS = {n: re.compile(rf"</{n}(?=[\s/>])", re.I | re.A) for n in LITERAL}
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -65,22 +74,68 @@ def _parts(name: str, attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+class _Open:
+    """The open elements: their names, and the distinct path buckets down to each (PATH at most, shared where a child adds none)."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[tuple[int, ...]] = [()]
+        self.count: dict[str, int] = {}
+        self.ps: list[int] = []
+        self.scopes: list[int] = []
+        self.links = self.raw = 0
+
+    def push(self, name: str, parts: tuple[int, ...]) -> None:
+        path = self.paths[-1]
+        new = [p for p in parts if p not in path]
+        if name == "p":
+            self.ps.append(len(self.names))
+        elif name in SCOPES:
+            self.scopes.append(len(self.names))
+        self.names.append(name)
+        self.paths.append((*path, *dict.fromkeys(new)) if new else path)
+        self.count[name] = self.count.get(name, 0) + 1
+        self.links += name == "a"
+        self.raw += name in RAW
+
+    def pop(self, name: str) -> None:
+        """Close the last open element of that name and all inside it; nothing if there is none."""
+        if not self.count.get(name):
+            return
+        while True:
+            n = self.names.pop()
+            self.paths.pop()
+            self.count[n] -= 1
+            self.links -= n == "a"
+            self.raw -= n in RAW
+            if n == "p":
+                self.ps.pop()
+            elif n in SCOPES:
+                self.scopes.pop()
+            if n == name:
+                return
+
+    def closes_p(self) -> bool:
+        return bool(self.ps) and (not self.scopes or self.scopes[-1] < self.ps[-1])
+
+
 def blocks(page: str) -> list[tuple[tuple[int, ...], str, float]]:
     """(path buckets, text, share of link text) of each leaf block with text, in page order."""
-    out, now = [], None
-    stack: list[tuple[str, tuple[int, ...]]] = []
-    in_link = in_raw = 0
-    skip_to = -1
-    at = 0
+    out, now, opened = [], None, _Open()
+    tag_at, last = _TAG, page.rfind(">")
 
     def text(s: str) -> None:
         nonlocal now
+        if opened.raw or not s:
+            return
         if now is None:
-            if not s or s.isspace():
+            if s.isspace():
                 return
-            now = Block(tuple(b for _, parts in stack[-6:] for b in parts))
+            if opened.count.get("head"):
+                opened.pop("head")
+            now = Block(opened.paths[-1])
         now.text.append(s)
-        if in_link:
+        if opened.links:
             now.linked += len(s)
 
     def flush() -> None:
@@ -92,61 +147,54 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, float]]:
                 out.append((now.path, t, now.linked / len(raw)))
             now = None
 
-    def pop(name: str) -> None:
-        nonlocal in_link, in_raw
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                for n, _ in stack[i:]:
-                    in_link -= n == "a"
-                    in_raw -= n in RAW
-                del stack[i:]
-                return
-
-    for m in _TAG.finditer(page):
-        start = m.start()
-        if start < skip_to:
+    at, look = 0, page.find("<")
+    while 0 <= look:
+        c = page[look + 1 : look + 2]
+        if c in ("!", "?") and c:
+            text(page[at:look])
+            mark, skip = ("-->", 4) if page.startswith("<!--", look) else ("]]>", 9) if page.startswith("<![CDATA[", look) else (">", 2)
+            end = page.find(mark, look + skip)
+            at = len(page) if end < 0 else end + len(mark)
+            look = page.find("<", at)
             continue
-        if start > at and not in_raw:
-            text(page[at:start])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        m = tag_at.match(page, look) if look < last else None
+        if m is None:
+            if look > last:
+                break  # no tag can follow
+            if tag_at is _TAG and _PLAIN_TAG.match(page, look):
+                tag_at = _PLAIN_TAG
+            else:
+                look = page.find("<", look + 1)
             continue
-        name = name.lower()
-        block = name in BLOCKS
-        if block:
+        text(page[at:look])
+        at, name = m.end(), m[2].lower()
+        if name in BLOCKS:
             flush()
-        elif name == "br" and not in_raw:
+        elif name == "br":
             text(" ")
         if m[1]:
-            pop(name)
-            continue
-        if name in CLOSES_P and any(n == "p" for n, _ in stack[-8:]):
-            pop("p")
-        if name == "li" and stack and stack[-1][0] == "li":
-            pop("li")
-        if name in VOID or m[3].endswith("/"):
-            continue
-        if name in ("script", "style", "textarea", "title"):  # their content is not markup
-            end = _raw_end(page, name, at)
-            flush() if name != "textarea" else None
-            skip_to = end
-            at = end
-            continue
-        stack.append((name, _parts(name, m[3])))
-        in_link += name == "a"
-        in_raw += name in RAW
-    if at < len(page) and not in_raw:
-        text(page[at:])
+            opened.pop(name)
+        else:
+            if opened.count.get("head") and name not in IN_HEAD:
+                opened.pop("head")
+            if name in CLOSES_P and opened.closes_p():
+                opened.pop("p")
+            if name == "li" and opened.names and opened.names[-1] == "li":
+                opened.pop("li")
+            if name in LITERAL:  # its content is not markup
+                found = _ENDS[name].search(page, at)
+                end = page.find(">", found.end()) if found else -1
+                at = len(page) if end < 0 else end + 1
+                if name != "textarea":
+                    flush()
+            elif name not in VOID and not m[3].endswith("/"):
+                opened.push(name, _parts(name, m[3]))
+        look = page.find("<", at)
+    text(page[at:])
     flush()
     return out
 
 
-def _raw_end(page: str, name: str, at: int) -> int:
-    m = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-    return m.end() if m else len(page)
-
-
 def vectors(pages: list[list[tuple[tuple[int, ...], str, float]]]) -> list[np.ndarray]:
     """For each page, a row for each of its blocks."""
     found = [b for page in pages for b in page]
@@ -232,10 +280,10 @@ class Labeller:
         grad[f"wx{d}"] += x.reshape(-1, INPUT).T @ flat
         grad[f"b{d}"] += flat.sum(0)
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, size: int = 50, rate: float = 0.01, seed: int = 3) -> Labeller:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, size: int = 50, rate: float = 0.01, seed: int = 3) -> Labeller:
         rng = np.random.Generator(np.random.PCG64(seed))
         mean, var = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        step = 0
+        step, steps = 0, epochs * -(-len(pages) // size)
         for _ in range(epochs):
             order = rng.permutation(len(pages))
             for lo in range(0, len(order), size):
@@ -257,7 +305,7 @@ class Labeller:
                 for k, g in grad.items():
                     mean[k] = 0.9 * mean[k] + 0.1 * g
                     var[k] = 0.999 * var[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] = self.p[k] - rate * (1 - 0.95 * step / steps) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -338,6 +386,8 @@ class Pages:
             inside = f"<h3>{self.words(1, 2)}</h3>" + "".join(f'<{t} class="comment"><p>{self.paragraph(1, 4)}</p></{t}>' for t in r.choices(["div", "li"], k=r.randint(1, 5)))
         elif kind == "footer":
             inside = f"&copy; {self.words(1, 3)} &middot; {self.paragraph(1, 2)}"
+        elif kind == "notice" and r.random() < 0.15:
+            return f"<noscript>{r.choice(['<p>{}</p>', '{}', '<div>{}</div>']).format(self.paragraph(1, 2))}</noscript>"
         else:
             inside = (f"<h3>{self.words(1, 4)}</h3>" if r.random() < 0.3 else "") + r.choice(["<p>{}</p>", "{}", "<span>{}</span>"]).format(self.paragraph(1, 3))
         return f"<{tag}{attributes}>{inside}</{tag}>"
@@ -362,6 +412,11 @@ class Pages:
                 out.append(f"<table><tr><td>{self.words(1, 5)}</td><td>{self.words(1, 5)}</td></tr></table>")
         return "".join(out)
 
+    def deep(self, inside: str) -> str:
+        """inside below some more elements."""
+        names = self.r.choices(["container", "wrapper", "page", "layout", "row", "col", "inner"], k=self.r.randint(2, 9))
+        return "".join(f'<div class="{n}">' for n in names) + inside + "</div>" * len(names)
+
     def page(self) -> str:
         """html in which the characters 1 and 0 stand where the article starts and ends."""
         r = self.r
@@ -378,11 +433,15 @@ class Pages:
         if r.random() < 0.4:
             body = f'<div class="{r.choice(["container", "wrapper", "page", "layout", "row"])}">{body}{"".join(after[:1])}</div>'
             after = after[1:]
+        if r.random() < 0.25:
+            body = self.deep(body)
+        if after and r.random() < 0.2:
+            after[-1] = self.deep(after[-1])
         page = f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
         return page
 
 
-def training(n: int = 700, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+def training(n: int = 2000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
     """Vectors and labels of written pages. A mark turns into a block of its own that says where the article starts and ends."""
     write, out = Pages(seed), []
     for _ in range(n):
