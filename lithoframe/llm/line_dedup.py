@@ -2,29 +2,43 @@
 
 A line's key is the line with white space stripped at both ends and A-Z lower-cased. A key of at least
 min_chars code points that min_docs documents hold loses its lines everywhere but in the largest doc_id
-holding it. The index is a list of levels; a level has runs, tables of (key hash, documents, largest
-document) sorted by hash. A batch of lines is merged into a run of its own, and FANOUT runs of a level are
-compacted into one of the next level, so a key is rewritten a logarithmic number of times. Documents are
-assigned to batches by their id, which keeps the counts of the runs additive. The frequent keys are merged
-out of the runs that are left, and the lines of every batch are joined against them.
+holding it.
+
+Documents come in batches of descending doc_id, so the first batch that holds a key has its largest document.
+The index is a list of levels of runs: tables of (key hash, largest document, documents), sorted by hash and
+bucketed by hash in one number of buckets. A batch is aggregated to its own keys and merge-anti-joined with
+every run; what is left are new keys, a run of level 0, and the other keys only add to the counts of keys that
+a run has. FANOUT runs of a level are compacted into one of the next, with the counts that came in since. Runs
+share no key, so a key is in one run at any time and is rewritten a logarithmic number of times. As runs and
+batches are bucketed alike, these joins move no rows. At the end the runs are merged with the counts left, and
+the lines of all batches are joined with the frequent keys.
 
 Text is never exploded for the result: a document gets the set of its own dropped hashes, and an array
-filter leaves its other lines in place.
+filter leaves its other lines in place. The sets are broadcast if all of them together are BROADCAST_ROWS
+hashes at most, else documents and sets meet by doc_id.
+
+A key that very many documents hold is aggregated before it is bucketed, and its lines meet the frequent keys
+by broadcast or in a skew join that splits them.
 
 Edge cases: a null or empty text is one empty line; a row without doc_id counts for no key and loses
 nothing; repeated rows of an id are one document; a key held only by one document stays however often it
-repeats there; documents may end up empty; extra columns are carried along.
+repeats there; documents may end up empty; extra columns are carried along, those named n_lines and n_dropped
+are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import BROADCAST_ROWS, shared_dir, small, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 2
+#: Lines for a bucket of the runs: as many as a task sorts with ease, fewer while there are idle cores.
+BUCKET_LINES, LEAST_BUCKET_LINES = 4_000_000, 100_000
 #: The white space that is stripped, the letters that are lower-cased.
 WHITE, UPPER, LOWER = " \t\n\x0b\f\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,39 +52,59 @@ def key(line: Column) -> Column:
 
 
 class LineIndex:
-    """Levels of sorted runs (h1, h2, n_docs, last_doc)."""
+    """Levels of sorted runs (h1, h2, last_doc, n_docs) without a key in common, and counts of later batches."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, []
-
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return stored(run.sortWithinPartitions("h1", "h2"))
+    def __init__(self, buckets: int = 8, fanout: int = FANOUT):
+        self.buckets, self.fanout = buckets, fanout
+        self.levels: list[list[DataFrame]] = []
+        self.more: list[DataFrame] = []
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")) if len(runs) > 1 else out
+    def _run(self, df: DataFrame) -> DataFrame:
+        """df as a table in the shared folder, bucketed and sorted by key."""
+        spark, name = df.sparkSession, f"line_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        return spark.table(name)
 
     def add(self, batch: DataFrame) -> None:
-        """Merge a batch of (doc_id, h1, h2); its documents must not be in an earlier batch."""
+        """Add a batch of (doc_id, h1, h2), whose documents are all below those of earlier batches."""
         once = batch.where("doc_id IS NOT NULL").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        run = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        keys = once.groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"))
+        runs = [r for level in self.levels for r in level]
+        own = self._run(keys.repartition(self.buckets, "h1", "h2"))
+        if runs:
+            new = own
+            for r in runs:
+                new = new.join(r.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            new = self._run(new)
+            self.more.append(stored(own.join(new.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(None).cast("long").alias("last_doc"), "n_docs")))
+            own = new
         level = 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(self._sorted(run))
+            self.levels[level].append(own)
             if len(self.levels[level]) < self.fanout:
                 return
-            run, self.levels[level] = self._merged(self.levels[level]), []
+            own, self.levels[level] = self._compacted(self.levels[level]), []
             level += 1
 
+    def _compacted(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of some runs, with the counts that have come in for their keys; counts for keys elsewhere stay."""
+        out = self._merged(runs)
+        if self.more and len(runs) == sum(map(len, self.levels)):  # all counts are for these keys
+            out, self.more = self._merged([out, *self.more]), []
+        return self._run(out.repartition(self.buckets, "h1", "h2"))
+
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
+        for r in runs[1:]:
+            out = out.unionByName(r)
+        return out.groupBy("h1", "h2").agg(F.max("last_doc").alias("last_doc"), F.sum("n_docs").alias("n_docs"))
+
     def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame | None:
         runs = [r for level in self.levels for r in level]
-        return self._merged(runs).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc") if runs else None
+        return self._merged([*runs, *self.more]).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc") if runs else None
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -81,14 +115,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .where(F.length("line") >= min_chars)
         .select("doc_id", key(F.col("line")).alias("k"))
         .where(F.length("k") >= min_chars)
-        .select("doc_id", F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+        .select("doc_id", F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"))
     )
-    held = stored(each, "batch")
-    index = LineIndex()
-    for b in range(batches):
+    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
+    of = F.lit(0)
+    for c in sorted(set(cuts)):
+        of = of + (F.col("doc_id") <= c).cast("int")
+    held = stored(each.withColumn("batch", F.coalesce(of, F.lit(0))), "batch")
+    n, cores = held.count(), docs.sparkSession.sparkContext.defaultParallelism
+    index = LineIndex(max(1, -(-n // BUCKET_LINES), min(cores, -(-n // LEAST_BUCKET_LINES))))
+    for b in range(len(set(cuts)) + 1):
         index.add(held.where(F.col("batch") == b))
     hot = small(stored(index.frequent(min_docs)))
-    drops = held.join(hot, ["h1", "h2"]).where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("h1").alias("__drops"))
+    dropped = stored(held.join(hot, ["h1", "h2"]).where(F.col("doc_id") < F.col("last_doc")).select("doc_id", "h1"))
+    drops = dropped.groupBy("doc_id").agg(F.collect_set("h1").alias("__drops"))
+    if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        drops = F.broadcast(drops)
     parts = F.col("__lines")
     kept = F.filter(parts, lambda x: ~((F.length(x) >= min_chars) & (F.length(key(x)) >= min_chars) & F.array_contains(F.col("__drops"), F.xxhash64(key(x)))))
     return (
