@@ -4,15 +4,18 @@ Words are runs of letters and digits, lower-cased. Numbers, names (capitalised w
 runs of them as one) and units after a number become typed placeholders, so a question whose values were
 exchanged has the same template. Two further readings find what that one misses: one takes capitalised words
 that open a sentence as names too (a name there is exchanged like any other), one keeps every word and number
-as it is (copies in other case). A pair is given by the first reading that finds it. Windows of WINDOW template tokens with enough literal words are looked up
-by hash in the benchmark's windows. Matches on one diagonal are merged, and their slots are checked: over
+as it is (copies in other case). A pair is given by the first reading that finds it. Windows of WINDOW template tokens with enough literal words are hash-joined
+with the benchmark's windows. Matches on one diagonal are merged, and their slots are checked: over
 an item, a benchmark value must always stand for one value of the document and the other way round; else
 only the part of the run up to the contradiction counts. A document is contaminated by an item if a
 consistent run covers at least LONG tokens, or half of the item and a whole window; runs on diagonals at most
 NEAR apart that follow each other in both texts are one run. Items of fewer than
 WINDOW tokens are one window of their own length, if they have MIN_LITERAL literal words.
 
-The benchmark's windows go to the workers in blocks of a stated size, one scan of the documents a block.
+The benchmark becomes a table of windows; a bitmap of their hashes, of SIEVE bits whatever its size, goes to the
+workers, so that only windows that may match leave the scan of the documents. They meet the benchmark's windows in
+one hash join, by broadcast only if those are at most WINDOW_ROWS rows. A matched pair of document and item is
+then one row, no larger than the two texts. Neither table is gathered on the driver.
 
 Edge cases: null or empty texts on either side match nothing; repeated documents and items give a row for
 each id pair (the longest cover of the repeated ones); empty tables give an empty result; extra columns
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, stored, table
 from .flat import _ODD, LOWER, chunks, mix64, segment_hash
 
 WINDOW, LONG, MIN_LITERAL = 8, 13, 4
 #: Words put in or left out between two matched runs that are read as one.
 NEAR = 4
-#: Benchmark windows sent to the workers at once, at most (each 24 bytes).
-BLOCK = 200_000
+#: Bits of the bitmap of window hashes; benchmark windows (about 150 bytes each) that may be broadcast.
+SIEVE, WINDOW_ROWS = 1 << 25, 200_000
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F))
 #: Units of measure and currency that follow a number.
 UNITS = "km m cm mm mi mile miles ft feet foot inch inches yd yards kg g mg lb lbs oz pounds ton tons l ml litre litres liter liters gallon gallons s sec seconds min minutes minute h hr hour hours day days week weeks month months year years percent usd eur dollars dollar euros euro cents degrees celsius fahrenheit mph kmh watts volts".split()
@@ -114,56 +117,87 @@ def _windows(token: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(h + np.uint64(w)), (literal[w:] - literal[:-w] >= min(MIN_LITERAL, w)) if m else np.zeros(0, bool)
 
 
-class Benchmark:
-    """Window hashes of some items in one of the readings, for looking up, and the items' tokens."""
-
-    def __init__(self, rows: list[tuple[int, str]], reading: int = 0):
-        self.items, hashes, where = [], {}, {}
-        for item, text in rows:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            _, token, value = readings(raw, np.array([0, len(raw)]))[reading]
-            if not len(token):
-                continue
-            k = len(self.items)
-            self.items.append((item, token, value))
-            w = min(WINDOW, len(token))
-            h, ok = _windows(token, w)
-            if w < WINDOW and ((token != NUMBER) & (token != NAME) & (token != UNIT)).sum() < MIN_LITERAL:
-                continue
-            for j in np.flatnonzero(ok).tolist():
-                hashes.setdefault(w, []).append(h[j])
-                where.setdefault(w, []).append((k, j))
-        self.by_size = {}
-        for w, hs in hashes.items():
-            hs, at = np.array(hs, np.uint64), np.array(where[w], np.int64)
-            order = np.argsort(hs, kind="stable")
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(hs >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[w] = (hs[order], at[order], sieve)
-
-    def matches(self, doc: np.ndarray, token: np.ndarray, value: np.ndarray):
-        """(doc, item, tokens covered, share of the item, slots) of contaminated documents."""
-        hits: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
-        for w, (hs, at, sieve) in self.by_size.items():
-            h, ok = _windows(token, w)
-            if not len(h):
-                continue
-            maybe = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)] & ok & (doc[: len(h)] == doc[w - 1 :]))
-            lo, hi = np.searchsorted(hs, h[maybe]), np.searchsorted(hs, h[maybe], "right")
-            for i, a, b in zip(maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k, j in at[a:b].tolist():
-                    hits.setdefault((int(doc[i]), k), {}).setdefault(i - j, []).append((j, w))
-        out = []
-        for (d, k), diagonals in hits.items():
-            item, it, iv = self.items[k]
-            best, slots = 0, 0
-            for at, there in chained_runs(diagonals):
-                n, s = consistent(it[at], iv[at], token[there], value[there])
-                if n > best:
-                    best, slots = n, s
-            if best >= min(LONG, len(it)) or (best >= WINDOW and 2 * best >= len(it)):
-                out.append((d, item, best, best / len(it), slots))
-        return out
+def _lists(x: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(x.view(np.int64)))
+
+
+def _spans(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
+    return x[(start[:, None] + np.arange(w)).ravel()] if len(start) else x[:0]
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """(reading, h, w, item_id, item_key, n_item, j, token, value): the windows of every item that can be matched."""
+    schema = "reading int, h long, w int, item_id long, item_key long, n_item int, j int, token array<long>, value array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, off in chunks(batch.column(2)):
+                for reading, (doc, token, value) in enumerate(readings(data, off)):
+                    for d in np.unique(doc).tolist():
+                        a, b = np.searchsorted(doc, [d, d + 1])
+                        n, t = int(b - a), token[a:b]
+                        w = min(WINDOW, n)
+                        if w < WINDOW and ((t != NUMBER) & (t != NAME) & (t != UNIT)).sum() < MIN_LITERAL:
+                            continue
+                        h, ok = _windows(t, w)
+                        at = np.flatnonzero(ok)
+                        k, own = len(at), pa.array([lo + d])
+                        same = lambda x, kind, k=k: pa.array([x] * k, kind)
+                        item, key = (batch.column(i).take(own)[0].as_py() for i in (0, 1))
+                        size = np.full(k, w)
+                        cols = [same(reading, pa.int32()), pa.array(h[at].view(np.int64)), same(w, pa.int32()), same(item, pa.int64()), same(key, pa.int64()), same(n, pa.int32()), pa.array(at.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([*cols, _lists(_spans(t, at, w), size), _lists(_spans(value[a:b], at, w), size)], ["reading", "h", "w", "item_id", "item_key", "n_item", "j", "token", "value"])
+
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text")
+    return rows.mapInArrow(run, schema)
+
+
+def sieve_of(windows: DataFrame, bits: int = SIEVE) -> np.ndarray:
+    """Which values of a hash modulo bits the windows have, as packed bits; bits / 8 bytes, made by the executors."""
+    at = F.pmod("h", F.lit(bits)) + 1
+    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for r in windows.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect():
+        out[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    return out.ravel()
+
+
+def document_windows(docs: DataFrame, sieve: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(reading, h, doc_id, doc_key, i, dv): the documents' windows whose hash the sieve has, with the values of their tokens."""
+    bits = np.uint64(len(sieve) * 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, off in chunks(batch.column(2)):
+                for reading, (doc, token, value) in enumerate(readings(data, off)):
+                    for w in sizes:
+                        h, ok = _windows(token, w)
+                        if not len(h):
+                            continue
+                        low = (h % bits).astype(np.int64)
+                        at = np.flatnonzero((sieve[low >> 3] >> (low & 7).astype(np.uint8)) & ok & (doc[: len(h)] == doc[w - 1 :]))
+                        if len(at):
+                            own = pa.array(lo + doc[at])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(at), reading, np.int32)), pa.array(h[at].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(at - np.searchsorted(doc, doc[at])), _lists(_spans(value, at, w), np.full(len(at), w))],
+                                ["reading", "h", "doc_id", "doc_key", "i", "dv"],
+                            )
+
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
+    return rows.mapInArrow(run, "reading int, h long, doc_id long, doc_key long, i long, dv array<long>")
+
+
+def cover(n_item: int, hits: list[tuple[int, int, list[int], list[int], list[int]]]) -> tuple[int, int]:
+    """Tokens of the longest consistent run among matched windows (i, j, token, value, dv) of a document and an item, and its slots."""
+    it, iv, diagonals, there = np.zeros(n_item, np.int64), np.zeros(n_item, np.int64), {}, {}
+    for i, j, token, value, dv in hits:
+        diagonals.setdefault(i - j, set()).add((j, len(token)))
+        it[j : j + len(token)], iv[j : j + len(token)] = token, value
+        there.update(zip(range(i, i + len(dv)), dv, strict=True))
+    it, iv, best = it.view(np.uint64), iv.view(np.uint64), (0, 0)
+    for at, to in chained_runs({k: list(v) for k, v in diagonals.items()}):
+        found = consistent(it[at], iv[at], it[at], np.array([there[x] for x in to.tolist()], np.int64).view(np.uint64))
+        best = max(best, found, key=lambda x: x[0])
+    return best
 
 
 def chained_runs(diagonals: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -212,36 +246,30 @@ def consistent(it: np.ndarray, iv: np.ndarray, dt: np.ndarray, dv: np.ndarray) -
     return max(best, (len(it) - since, used))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, n_tokens, share, n_slots) of every contaminated pair."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * block)))  # a window for every two characters at most
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for b in range(blocks):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            bms = [Benchmark(rows, k) for k in range(3)]
-            for batch in batches:
-                found = []
-                for lo, _, data, off in chunks(batch.column(1)):
-                    first: dict[tuple[int, int], tuple] = {}
-                    for own in [bm.matches(*r) for bm, r in zip(bms, readings(data, off), strict=True)]:
-                        new = {}
-                        for d, item, *rest in own:  # an item that is there twice keeps its longest cover
-                            new[d, item] = max(new.get((d, item), ()), tuple(rest))
-                        first = new | first
-                    found += [(lo + d, item, *rest) for (d, item), rest in first.items()]
-                ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                cols = [pa.array([f[i] for f in found], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "n_tokens", "share", "n_slots"])
-
-        part = docs.mapInArrow(run, "doc_id long, item_id long, n_tokens long, share double, n_slots long")
-        out = part if out is None else out.unionByName(part)
-    best = F.max(F.struct("n_tokens", "share", "n_slots")).alias("m")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.n_tokens", "m.share", "m.n_slots")
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of matched pairs that are contaminated, with tokens covered, share of the item and slots."""
+    for batch in batches:
+        rows = []
+        for row, n, hits in zip(range(batch.num_rows), batch.column("n_item").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+            best, slots = cover(n, [(x["i"], x["j"], x["token"], x["value"], x["dv"]) for x in hits])
+            if best >= min(LONG, n) or (best >= WINDOW and 2 * best >= n):
+                rows.append((row, best, best / n, slots))
+        own = pa.array([r[0] for r in rows], pa.int64())
+        cols = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("doc_id", "doc_key", "item_id", "reading")), *cols], ["doc_id", "doc_key", "item_id", "reading", "n_tokens", "share", "n_slots"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = WINDOW_ROWS) -> DataFrame:
+    """(doc_id, item_id, n_tokens, share, n_slots) of every contaminated pair; most: benchmark windows that may be broadcast."""
+    windows = stored(benchmark_windows(benchmark))
+    sizes = [r["w"] for r in windows.select("w").distinct().collect()]  # at most WINDOW of them
+    met = document_windows(docs, sieve_of(windows), sorted(sizes)).join(small(windows, most), ["reading", "h"]).where(F.size("dv") == F.col("w"))
+    pairs = met.groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item", "reading").agg(F.collect_list(F.struct("i", "j", "token", "value", "dv")).alias("hits"))
+    found = pairs.mapInArrow(_judged, "doc_id long, doc_key long, item_id long, reading int, n_tokens long, share double, n_slots long")
+    # of a text, the first reading that finds the item, and there the longest cover; of texts under one id the longest
+    first = found.groupBy("doc_id", "doc_key", "item_id").agg(F.min(F.struct("reading", -F.col("n_tokens"), -F.col("share"), -F.col("n_slots")).cast("struct<reading:int,n_tokens:long,share:double,n_slots:long>")).alias("f"))
+    best = F.max(F.struct((-F.col("f.n_tokens")).alias("n_tokens"), (-F.col("f.share")).alias("share"), (-F.col("f.n_slots")).alias("n_slots"))).alias("m")
+    return first.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.n_tokens", "m.share", "m.n_slots")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,7 +180,7 @@ def test_decontamination(spark, edges):
     docs = [(0, "Intro text. " + items[0][1] + " Some more."), (1, "intro, " + changed.upper() + " " + changed), (2, "The capital city is large."), (3, "x " + items[3][1] + " y"), (4, items[1][1]), (5, inconsistent.replace("Ann", "Eve").replace("Bob", "Max").replace("5", "8")), (6, "a train travels far. how fast is it"), (7, None)]
     got = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(0, 1), (1, 1), (3, 4), (4, 2), (5, 5)}
-    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, block=20).collect()} == got
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, most=0).collect()} == got
     assert decontam.contaminated(edges, bench).count() == 0 == decontam.contaminated(edges, bench.limit(0)).count()
 
 
