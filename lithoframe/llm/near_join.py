@@ -42,6 +42,8 @@ from .flat import chunks, mix64, shingles, words
 
 #: Documents of a region that one task holds.
 BLOCK = 512
+#: Sets that are so common that their rows are not shuffled: fewer than so many.
+COMMON = 20_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -312,7 +314,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """doc_id, n_shingles, component_id: components of the links at Jaccard >= num/den on k-word shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(document_sets(docs, k))
-    node = sets.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
+    node = sets.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("node IS NOT NULL")
     node = stored(node)
     stars = signatures(docs, k, num, den)
     least = F.first("a").over(Window.partitionBy("key").orderBy("a"))
@@ -348,8 +350,9 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         own = stored(own)
         star = stars.join(small(own.select(F.col("a").alias("u"))), "u")
         rows = star.select(F.col("u").alias("region"), F.col("v").alias("a")).unionByName(star.select(F.col("u").alias("region"), F.col("u").alias("a")).distinct()).join(small(own), "a")
-        mixed = rows.groupBy("region").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("region")
-        held = sized(rows.join(small(stored(mixed)), "region").select("region", "node", "n_shingles", "a", "comp"))
+        # a star's size, its pivot, and whether it connects anything new, in one pass and one join
+        star_of = rows.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
+        held = stored(rows.join(small(stored(star_of)), "region").select("region", "node", "n_shingles", "a", "comp", "n", "pivot"))
         first = stored(read(dealt(held)).mapInArrow(lambda it: _within(it, k, num, den), schema))
         edges = edges.unionByName(first.where("u <> v").select("u", "v"))
         large = held.where(F.col("n") > block).drop("comp")
@@ -386,8 +389,13 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         second = stored(read(one.unionByName(two)).mapInArrow(lambda it: _across(it, k, num, den), schema))
         edges = edges.unionByName(second.select("u", "v"))
     final = components(edges)
-    named = node.join(small(final), "node", "left").select("a", "b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    out = sets.join(named, ["a", "b", "n_shingles"], "left")
+    named = stored(node.join(small(final), "node", "left").select("a", "b", "n_shingles", "copies", F.coalesce("component", "node").alias("component_id")))
+    key = ["a", "b", "n_shingles"]
+    # a set that more than one row in COMMON has is one of fewer than COMMON sets: its copies stay where they are
+    common = F.broadcast(named.where((F.col("copies") > block) & (F.col("copies") * COMMON > sets.count())).drop("copies"))
+    some = sets.where("n_shingles > 0")
+    rare = some.join(common.drop("component_id"), key, "left_anti").join(named.drop("copies"), key, "left")
+    out = some.join(common, key).select(rare.columns).unionByName(rare).unionByName(sets.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")).select(rare.columns))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

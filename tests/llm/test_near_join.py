@@ -61,6 +61,22 @@ def test_empty_table_and_repeated_rows(spark):
     assert near_components(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_long_texts_and_common_sets(spark):
+    """Rows without doc_id keep their set's component; a set that most rows have, and very long near copies."""
+    rng = random.Random(6)
+    long = [str(rng.randrange(9000)) for _ in range(60000)]
+    near = long[:30000] + ["odd"] + long[30000:]
+    rows = [(i, "the very same eight words in each row") for i in range(10, 60)]
+    rows += [(None, "the very same eight words in each row"), (None, "words of a row without an id"), (None, None), (70, " ".join(long)), (71, " ".join(near)), (72, " ".join(long[:40000])), (73, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS a", "2 AS node", "3 AS n_shingles")
+    got = near_components(df, 3, 90, 100, block=8).collect()
+    by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
+    assert len(got) == len(rows)
+    assert all(by[i, 6] == 10 for i in range(10, 60))
+    assert {r.component_id for r in got if r.doc_id in (70, 71)} == {70} and {r.component_id for r in got if r.doc_id in (72, 73)} == {72, 73}
+    assert sorted((r.n_shingles, r.component_id or -1) for r in got if r.doc_id is None) == [(0, -1), (5, -1), (6, 10)]
+
+
 def test_voronoi_links_by_themselves():
     rng = np.random.default_rng(2)
     base = [rng.choice(3000, 80, replace=False) for _ in range(6)]
