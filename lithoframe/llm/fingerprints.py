@@ -8,6 +8,9 @@ where L is the level of the text's length, and those of level L - 1, so that tex
 share a window. Steps after the end of the walk are marked. Likeness is the share of equal samples, less
 what chance gives; across levels it is scaled by the lengths.
 
+near_pairs and near_classes find alike fingerprints: bands of sampled positions, bit by bit of the same embedding,
+make candidates, and all members of a band are verified by their likeness.
+
 Documents are walked side by side; the last few long ones one by one. Whole texts are read.
 
 Edge cases: a null text is empty; the empty text has a fingerprint of its own; equal texts have equal
@@ -27,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import small, stored, table
+from .components import components
+from .flat import mix64
 
 SAMPLES = 128
-BANDS, PER_BAND = 16, 4
+#: Bands and the samples in each; times that a large band is cut by further samples; members of a band that one task compares.
+BANDS, PER_BAND, FINER, BUCKET = 20, 8, 3, 1000
 #: Share of equal samples of unrelated prose: equal characters, and equal digits of unequal ones.
 CHANCE = 0.12
 PERIOD = 1024
@@ -46,7 +52,8 @@ _BIT_ROWS = [r.astype(np.uint8).tobytes() for r in _BITS]
 _DIGIT = _rng.integers(0, 16, (SAMPLES, 256)).astype(np.uint8)
 _DIGIT[:, 0] = 16
 _HEX = np.frombuffer(b"0123456789abcdef" + END.encode(), np.uint8)
-_BAND = _rng.permutation(SAMPLES)[: BANDS * PER_BAND].reshape(BANDS, PER_BAND)
+_BAND = np.stack([_rng.permutation(SAMPLES)[:PER_BAND] for _ in range(BANDS)])
+_FINER = [np.stack([_rng.permutation(SAMPLES)[:PER_BAND] for _ in range(BANDS // 2)]) for _ in range(FINER)]
 
 
 def level(n: int) -> int:
@@ -160,11 +167,47 @@ def likeness(a: str, b: str) -> float:
     return scale * max(0.0, (share - CHANCE) / (1 - CHANCE))
 
 
-def bands(fingerprint: str) -> list[str]:
-    """Keys of sampled positions in both windows; fingerprints that share one are candidates."""
-    n, *windows = fingerprint.split(":")
-    lv = level(int(n, 16))
-    return [f"{lv - w}:{b}:{''.join(x[i] for i in _BAND[b])}" for w, x in enumerate(windows) for b in range(BANDS)]
+def _signs(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and the samples as characters: (text, window, sample)."""
+    parts = [p.split(":") for p in prints]
+    signs = np.frombuffer("".join(a + b for _, a, b in parts).encode(), np.uint8).reshape(len(prints), 2, SAMPLES)
+    return np.array([int(n, 16) for n, _, _ in parts], np.int64), signs
+
+
+def likenesses(i: int, js: np.ndarray, size: np.ndarray, lv: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """likeness() of text i and each of js."""
+    out = np.zeros(len(js))
+    for up in (-1, 0, 1):  # level of i less that of j
+        at = np.flatnonzero((lv[i] - lv[js] == up) & (size[js] > 0) & (size[i] > 0))
+        if not len(at):
+            continue
+        x, y = signs[i, int(up > 0)], signs[js[at], int(up < 0)]
+        there = (x != ord(END)) | (y != ord(END))
+        total = there.sum(1)
+        share = ((x == y) & there).sum(1) / np.maximum(total, 1)
+        scale = np.minimum(size[js[at]], size[i]) / np.maximum(size[js[at]], size[i]) if up else 1.0
+        out[at] = np.where(total > 0, scale * np.maximum(0.0, (share - CHANCE) / (1 - CHANCE)), 0.0)
+    out[(size[js] == size[i]) & (signs[js] == signs[i]).all((1, 2))] = 1.0
+    return out
+
+
+def band_keys(prints: list[str], among: np.ndarray = _BAND, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every band of every text, in both windows; bands that only tell the end of a text have none."""
+    if not prints:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size, signs = _signs(prints)
+    lv = np.array([level(int(n)) for n in size])
+    text, key = [], []
+    for w in (0, 1):
+        for b, at in enumerate(among):
+            own = np.ascontiguousarray(signs[:, w][:, at])
+            some = np.flatnonzero((own != ord(END)).any(1))
+            low = np.zeros(len(some), np.uint64)
+            for c in own[some].astype(np.uint64).T:
+                low = low * np.uint64(31) + (c - np.uint64(45))  # signs are 0-9, a-f and the end mark
+            text.append(some)
+            key.append(mix64(low ^ mix64(((lv[some] - w).astype(np.uint64) << np.uint64(40)) | np.uint64(b << 20 | salt))).view(np.int64))
+    return np.concatenate(text), np.concatenate(key)
 
 
 def _edited(text: str, nxt: str) -> str:
@@ -196,6 +239,7 @@ def _batch(rows: list[tuple], schema) -> pa.RecordBatch:
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_LINK = pa.schema([("doc_id", pa.int64()), ("other", pa.int64()), ("likeness", pa.float64())])
 _ARROW_STEP = pa.schema([*_ARROW, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
 
 
@@ -241,24 +285,96 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return cut.where("edge IS NULL").select(*_ARROW.names).unionByName(ends.mapInArrow(close, SCHEMA))
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, other, likeness): candidates by bands, verified. Equal fingerprints are one class, whose least doc_id stands for it; within a band the classes meet the band's least one."""
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+def _keyed(rows: DataFrame, salt: int) -> DataFrame:
+    """(key, node) for rows (node, fingerprint), or refined keys for rows (node, fingerprint, key)."""
+    fine = "key" in rows.columns
+    among = _FINER[salt] if fine else _BAND
 
-    def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, f, k) for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in bands(f)]
-            yield _batch(rows, pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("band", pa.string())]))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, o, likeness(f, g)) for i, o, f, g in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
-            yield _batch([r for r in rows if r[2] >= least], pa.schema([("doc_id", pa.int64()), ("other", pa.int64()), ("likeness", pa.float64())]))
-
-    w = Window.partitionBy("band").orderBy("doc_id")
-    met = classes.select("doc_id", "fingerprint").mapInArrow(band_rows, "doc_id long, fingerprint string, band string")
-    met = met.select("doc_id", F.first("doc_id").over(w).alias("other"), "fingerprint", F.first("fingerprint").over(w).alias("its")).where("doc_id <> other").distinct()
-    return met.mapInArrow(verify, "doc_id long, other long, likeness double")
+            node = b.column(0).to_numpy()
+            text, key = band_keys(b.column(1).to_pylist(), among, salt)
+            if fine:
+                key = mix64(key.view(np.uint64) + mix64(b.column(2).to_numpy().view(np.uint64))[text]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[text])], ["key", "node"])
+
+    return rows.mapInArrow(run, "key long, node long")
+
+
+def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links that connect the members (bucket, part, node, fingerprint) of each bucket; part 0 meets part 1 only, if there are two."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int, float]]:
+        nodes, part = [r[2] for r in rows], np.array([r[1] for r in rows])
+        size, signs = _signs([r[3] for r in rows])
+        lv = np.array([level(int(n)) for n in size])
+        up, out = np.arange(len(rows)), []
+        for i in range(len(rows) - 1):
+            js = np.flatnonzero(up[i + 1 :] != up[i]) + i + 1
+            js = js[part[js] != part[i]] if part[-1] else js
+            like = likenesses(i, js, size, lv, signs) if len(js) else np.zeros(0)
+            for k in np.flatnonzero(like >= least).tolist():
+                j = int(js[k])
+                if up[i] != up[j]:
+                    up[up == up[j]] = up[i]
+                    out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j]), float(like[k])))
+        return out
+
+    now, rows = None, []
+    for b in batches:
+        out = []
+        for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "part", "node", "fingerprint")), strict=True):
+            if row[0] != now:
+                out += links(rows) if len(rows) > 1 else []
+                now, rows = row[0], []
+            rows.append(row)
+        yield _batch(out, _LINK)
+    yield _batch(links(rows) if len(rows) > 1 else [], _LINK)
+
+
+def near_pairs(prints: DataFrame, least: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, other, likeness): verified links that connect all alike fingerprints that share a band.
+
+    Equal fingerprints are one class, whose least doc_id stands for it (rows without doc_id have none). A band's
+    members are all compared, but for those connected already. Bands beyond `bucket` members are cut by further
+    samples, FINER times over; what is larger still is compared block by block, so that no member is left out.
+    """
+    classes = stored(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
+    now, found = classes, []
+    for salt in range(len(_FINER) + 1):
+        keys = stored(_keyed(now.select("node", "fingerprint", *(["key"] if salt else [])), salt - 1 if salt else 0))
+        full = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        met = stored(keys.join(small(full), "key").distinct().join(classes, "node"))
+        found.append(met.where(F.col("n") <= bucket).select(F.col("key").alias("bucket"), F.lit(0).alias("part"), "node", "fingerprint"))
+        now = met.where(F.col("n") > bucket)
+        if not now.limit(1).count():
+            break
+    else:
+        blocks = F.ceil(2 * F.col("n") / bucket).cast("long")
+        dealt = now.withColumn("p", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("p")))
+        # each block meets itself and the blocks after it
+        pairs = dealt.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))).withColumn("lo", F.least("own", "to")).withColumn("hi", F.greatest("own", "to"))
+        found.append(pairs.select(F.xxhash64("key", "lo", "hi").alias("bucket"), ((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi"))).cast("int").alias("part"), "node", "fingerprint"))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "part", "node")
+    links = dealt.mapInArrow(lambda it: _linked(it, least), "doc_id long, other long, likeness double")
+    return links.groupBy("doc_id", "other").agg(F.max("likeness").alias("likeness"))
+
+
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, fingerprint, class_id): the least doc_id of all that links of near fingerprints connect."""
+    prints = stored(fingerprinted(docs).select("doc_id", "fingerprint"))
+    links = near_pairs(prints, least).select(F.col("doc_id").alias("u"), F.col("other").alias("v"))
+    node = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    named = node.join(components(links), "node", "left").select("fingerprint", "n", F.coalesce("component", "node").alias("class_id"))
+    return prints.join(named.drop("n"), "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of the operator as a query: every document with its class of near fingerprints."""
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

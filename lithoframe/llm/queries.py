@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op5_decontamination
-from .fingerprints import op3_fingerprints
+from .fingerprints import near_fingerprints, op3_fingerprints
 from .html_blocks import op10_html_extraction
 from .licenses import op2_license_scan
 from .line_dedup import SQL as LINE_DEDUP_SQL
@@ -18,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_license_scan, op3_fingerprints, op4_secret_scan, op5_decontamination,
-        op6_jaccard_join, op7_quality_classifier, op8_toxicity, op9_line_dedup, op10_html_extraction,
+        op6_jaccard_join, op7_quality_classifier, op8_toxicity, op9_line_dedup, op10_html_extraction, near_fingerprints,
     )
 }
 ORACLES = {"op9_line_dedup": LINE_DEDUP_SQL}
