@@ -155,6 +155,27 @@ def test_battery_tells_random_tokens_from_words():
     assert not any(secrets.discoveries([(0, len(t), secrets.p_value(t))]) for t in words)
 
 
+def test_battery_by_encoding_and_over_the_corpus(spark):
+    """Random tokens of every encoding among words; dates and identifiers stay; one threshold for all documents."""
+    r = random.Random(4)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    plain = ["2024-06-11T15-30-12Z-build-1042-rc1", "550e8400-e29b-41d4-a716-446655440000", "rechtsschutzversicherungsgesellschaft", "org/apache/commons/lang3/StringUtils", "12345678901234567890123", "aaaaaaaaaaaaaaaaaaaaaaaa", "antidisestablishmentarianism"]
+    rows, random_at = [], {}
+    for i, (alphabet, least) in enumerate(((upper + lower + digits + "+/", 0.95), (upper + lower + digits, 0.95), (lower + digits, 0.7), (upper + "234567", 0.7), ("0123456789ABCDEF", 0.7), (lower, 0.7))):
+        for j in range(60):
+            random_at[100 * i + j] = least
+            rows.append((100 * i + j, f"keep {''.join(r.choice(alphabet) for _ in range(48))} here"))
+    rows += [(1000 + i, f"some text with {r.choice(plain)} in it") for i in range(300)] + [(2000, " ".join(plain)), (2001, None)]
+    got = {x.doc_id: x for x in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for i in range(6):
+        own = [d for d in random_at if d // 100 == i]
+        hit = [got[d].spans in ("random:5:53", "assign:5:53", "hex:5:53") for d in own]
+        assert sum(hit) >= random_at[own[0]] * len(own), (i, sum(hit))
+    assert not any(x.n_random for d, x in got.items() if d >= 1000)
+    steps = {secrets.step(p): n for p, n in ((1e-9, 3), (0.0101, 5), (0.5, 92))}
+    assert secrets.least_step(steps) == secrets.step(1e-9) and secrets.least_step({}) > secrets.step(0)
+
+
 def test_license_scan_reads_across_gaps(spark):
     rows, want = [], {}
     for i, name in enumerate(("MIT", "Apache-2.0 header", "BSD-2-Clause", "GPL-3.0 header", "ISC")):
