@@ -88,23 +88,23 @@ def _featured(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> AdditiveModel:
     chosen = F.broadcast(sample(labels, "quality", learn))  # SAMPLE rows of two numbers at most
-    rows = _featured(docs.join(chosen, "doc_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = _featured(docs.select("doc_id", "text").join(chosen, "doc_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     x = rows.iloc[:, 2:].to_numpy(float).reshape(-1, FEATURES)
     return AdditiveModel().fit(x, rows["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, *keep: str) -> DataFrame:
-    """The columns keep of docs with score added."""
+def score(docs: DataFrame, model: AdditiveModel, *keep: str, into: str = "score") -> DataFrame:
+    """The columns keep of docs with the score added as column `into`, which must not be among them."""
     kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [model.score(features(d, o)) for _, _, d, o in chunks(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(np.concatenate(s) if s else np.zeros(0))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(np.concatenate(s) if s else np.zeros(0))], [*keep, into])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(run, f"{fields}, `{into}` double")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
