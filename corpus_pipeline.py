@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Edge cases, in every stage: null and empty texts are documents like others (the classifier scores them; no
+other stage drops them; packing makes one piece of each); only the classifier can reject a row without doc_id;
+repeated rows of an id are one document, kept or dropped together; very long texts are read whole; ties go to the smallest doc_id; further columns are passed on as they
+are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier does not reject."""
     out = F.coalesce(quality.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~out)
-    return quality.score(docs, model, *docs.columns).where("score >= 0.5").select(*docs.columns)
+    return quality.score(docs, model, *docs.columns, into="__score").where("__score >= 0.5").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that it lost; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*rest).alias("rest")))
+    columns = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the packing; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
