@@ -1,4 +1,6 @@
-"""The violation reader: the awkward files it must take, and a pack of them."""
+"""The violation reader: the awkward files it must take, cuts inside files, and a pack of them."""
+
+import random
 
 import pytest
 
@@ -76,3 +78,45 @@ def test_files_and_pack(spark, tmp_path):
     (tmp_path / "in" / "c.db").write_text(" \n\n")
     with pytest.raises(Exception, match="the file is empty"):
         violations.read(spark, str(tmp_path / "in")).collect()
+
+
+def random_file(r):
+    out = [r.choice(["", "TOP 1000", "T 2000"]) or "\nTOP"]
+    for k in range(r.randrange(3, 25)):
+        n = r.randrange(0, 4)
+        out.append(r.choice([f"R.{k}", "M1 space", f"X{k}_RDBS", "__RVE_NOTE__"]))
+        if r.random() < 0.9:
+            out.append(f"{r.randrange(9)} 3 {n} Nov 3")
+            out += [r.choice(["about it", "", "A.HEAD", "4 5 6", "see rule\n2 2 1 x", "p.3 of the manual"]) for _ in range(n)]
+        for _ in range(r.randrange(0, 7)):
+            m = r.randrange(0, 4)
+            out.append(f"{r.choice('peppx')} {r.randrange(9)} {m}")
+            out += [" ".join(str(r.randrange(-999, 999)) for _ in range(r.choice([2, 4]))) for _ in range(max(0, m - r.choice([0, 0, 0, 1])))]
+            out += [""] * r.choice([0, 0, 1])
+    return r.choice(["\n", "\r\n"]).join(out) + r.choice(["", "\n"])
+
+
+def test_parts_of_files_equal_one_pass(spark, tmp_path):
+    """Splits of a few bytes and parts of a few lines give what parse() gives, descriptions that look like checks included."""
+    r, want = random.Random(5), {}
+    for i in range(12):
+        text = random_file(r)
+        (tmp_path / f"{i}.db").write_text(text, newline="")
+        top, precision, checks = violations.parse(text)
+        rows, number = [], 0
+        for k, c in enumerate(checks):
+            rows.append((top, precision, k, c.name, "\n".join(c.descr), c.declared, 0, None, None, None))
+            for e, (kind, points) in enumerate(c.errors, 1):
+                number += 1
+                rows.append((top, precision, k, c.name, "\n".join(c.descr), c.declared, e, number, kind, points))
+        want[i] = rows
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split, lines in (("128m", 50_000), ("300b", 3)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            got = {}
+            for x in violations.read(spark, str(tmp_path), lines).collect():
+                got.setdefault(int(x.path.rsplit("/", 1)[1][:-3]), []).append((*x[1:10], None if x.pts is None else [(p.x, p.y) for p in x.pts]))
+            assert {i: sorted(v, key=str) for i, v in got.items()} == {i: sorted(v, key=str) for i, v in want.items() if v}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
