@@ -79,64 +79,91 @@ def pitch_runs(values: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _runs(batches, n_keys: int, emit):
+    """Rows (keys, value) sorted by keys and value: emit(keys, values) for each group, one at a time."""
+    now, values = None, []
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(n_keys + 1)]
+        out = []
+        for row in zip(*cols, strict=True):
+            if row[:-1] != now:
+                if values:
+                    out += emit(now, values)
+                now, values = row[:-1], []
+            values.append(row[-1])
+        yield out
+    yield emit(now, values) if values else []
+
+
 def find_grids(points: DataFrame, *keys: str) -> DataFrame:
     """keys, x0, y0, dx, nx, dy, ny: grids among the points (keys, x, y), and the rest as grids of one member.
 
-    Columns of one x are cut to runs of constant pitch, then equal runs at a constant pitch of x are one grid. Both
-    passes group by more than the keys (a column; a run's shape), so a large set of points is many small tasks.
-    Repeated points stay points of their own.
+    Columns of one x are cut to runs of constant pitch, then equal runs at a constant pitch of x are one grid. Each
+    pass deals points by more than the keys (a column; a run's shape), sorts its partitions and reads them once, so a
+    large set of points is spread over many tasks. Repeated points stay points of their own.
     """
-    import pandas as pd
+    import pyarrow as pa
+
+    types = {f.name: f.dataType for f in points.schema}
+    head = "".join(f"`{k}` {types[k].simpleString()}, " for k in keys)
+
+    def batch(rows: list[tuple], like: pa.RecordBatch | None, names: list[str], n: int) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        kinds = [*(like.schema.field(i).type for i in range(n)), *[pa.int64()] * (len(names) - n)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    def passed(emit, n_keys: int, outer: int, names: list[str]):
+        def run(batches):
+            like = []
 
-    types = dict(points.dtypes)
-    head = "".join(f"{k} {types[k]}, " for k in keys)
-    names = list(keys)
+            def seen():
+                for b in batches:
+                    like[:] = [b]
+                    yield b
 
-    def column(key, frame):
-        rows = pitch_runs(sorted(frame["y"].tolist()))
-        return pd.DataFrame([(*key, y0, dy, n) for y0, dy, n in rows], columns=[*names, "x", "y0", "dy", "ny"])
+            for rows in _runs(seen(), n_keys, emit):
+                if rows:
+                    yield batch(rows, like[0], names, outer)
 
-    def fused(key, frame):
+        return run
+
+    def column(key, ys):
+        return [(*key, y0, dy, n) for y0, dy, n in pitch_runs(ys)]
+
+    def fused(key, xs):
         *outer, y0, dy, ny = key
         rows = []
-        for x0, dx, nx in pitch_runs(sorted(frame["x"].tolist())):
+        for x0, dx, nx in pitch_runs(xs):
             if ny > 1 and nx * ny >= LEAST_GRID:
                 rows.append((*outer, x0, y0, dx, nx, dy, ny))
             else:
                 rows += [(*outer, x0 + i * dx, y0 + j * dy, 0, 1, 0, 1) for i in range(nx) for j in range(ny)]
-        return pd.DataFrame(rows, columns=[*names, "x0", "y0", "dx", "nx", "dy", "ny"])
+        return rows
 
-    runs = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "x").applyInPandas(column, f"{head}x long, y0 long, dy long, ny long")
-    return runs.groupBy(*keys, "y0", "dy", "ny").applyInPandas(fused, f"{head}x0 long, y0 long, dx long, nx long, dy long, ny long")
+    k = len(keys)
+    dealt = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, F.col("x").cast("long"), F.col("y").cast("long")).repartition(*keys, "x").sortWithinPartitions(*keys, "x", "y")
+    runs = dealt.mapInArrow(passed(column, k + 1, k, [*keys, "x", "y0", "dy", "ny"]), f"{head}x long, y0 long, dy long, ny long")
+    shape = runs.select(*keys, "y0", "dy", "ny", "x").repartition(*keys, "y0", "dy", "ny").sortWithinPartitions(*keys, "y0", "dy", "ny", "x")
+    return shape.mapInArrow(passed(fused, k + 3, k, [*keys, "x0", "y0", "dx", "nx", "dy", "ny"]), f"{head}x0 long, y0 long, dx long, nx long, dy long, ny long")
 
 
 _PLACES = "SELECT parent, child, px, py, rot, flip, na, nb, vax, vby FROM deep_place"
 
 
-def q_recursive_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_recursive_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of every cell."""
     places = run(spark, sf_dir, _PLACES)
     own = run(spark, sf_dir, "SELECT cell, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM deep_rect")
     return recursive_boxes(places, own, heights(places))
 
 
-def q_recursive_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The levels that BOXES_SQL lists: root, regions and nations."""
-    return q_recursive_boxes_all(spark, sf_dir).where(f"cell < {3 * _L}")
-
-
-def q_recursive_area_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_recursive_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of every cell by layer."""
     places = run(spark, sf_dir, _PLACES)
     own = run(spark, sf_dir, "SELECT cell, layer, w * h AS area FROM deep_rect")
     return recursive_area(places, own, heights(places)).select("cell", "layer", F.col("area").cast("long").alias("area"))
 
 
-def q_recursive_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The levels that AREA_SQL lists: root, regions and nations."""
-    return q_recursive_area_all(spark, sf_dir).where(f"cell < {3 * _L}")
-
-
 def q_lod_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = run(spark, sf_dir, "SELECT cell, count(*) AS members FROM deep_rect GROUP BY cell")
     return lod_cut(levels(run(spark, sf_dir, "SELECT parent, child, na, nb FROM deep_place"), 0), own)
@@ -156,16 +183,18 @@ def _areas(level: int, below: str) -> str:
     return f"SELECT d.parent AS cell, b.layer, sum(d.na * d.nb * b.area) AS area FROM deep_place d JOIN ({below}) b ON b.cell = d.child WHERE d.parent >= {level * _L} AND d.parent < {(level + 1) * _L} GROUP BY d.parent, b.layer"
 
 
-def _upper(fold, leaves: str) -> list[str]:
-    """The fold of nations, regions and the root, from leaves."""
-    out = [fold(2, fold(3, fold(4, leaves)))]
-    for level in (1, 0):
-        out.append(fold(level, out[-1]))
-    return out
+_PLACED = "WHERE cell IN (SELECT child FROM deep_place)"
+
+
+def all_levels(fold, leaves: str, columns: str) -> str:
+    """The rows of every level: each a fold of the one below, named once."""
+    names = ["parts", *("orders_", "customers_", "nations_", "regions_", "root_")]
+    steps = [f"{names[0]} AS ({leaves})"] + [f"{names[i]} AS ({fold(5 - i, f'SELECT * FROM {names[i - 1]}')})" for i in range(1, 6)]
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {columns} FROM {n}" for n in names)
 
 
-BOXES_SQL = " UNION ALL ".join(f"SELECT cell, x0, y0, x1, y1 FROM ({s}) q" for s in _upper(_boxes, "SELECT cell, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM deep_rect GROUP BY cell"))
-AREA_SQL = " UNION ALL ".join(f"SELECT cell, layer, CAST(area AS BIGINT) AS area FROM ({s}) q" for s in _upper(_areas, "SELECT cell, layer, sum(w * h) AS area FROM deep_rect GROUP BY cell, layer"))
+BOXES_SQL = all_levels(_boxes, f"SELECT cell, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM deep_rect {_PLACED} GROUP BY cell", "cell, x0, y0, x1, y1")
+AREA_SQL = all_levels(_areas, f"SELECT cell, layer, sum(w * h) AS area FROM deep_rect {_PLACED} GROUP BY cell, layer", "cell, layer, CAST(area AS BIGINT) AS area")
 LOD_SQL = f"""WITH RECURSIVE walk(cell, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT d.child, w.depth + 1 FROM walk w JOIN deep_place d ON d.parent = w.cell)
 SELECT depth, members, running, CASE WHEN running <= {LOD_MEMBERS} THEN 1 ELSE 0 END AS kept FROM (SELECT depth, members, CAST(sum(members) OVER (ORDER BY depth) AS BIGINT) AS running
 FROM (SELECT f.depth, CAST(coalesce(sum(r.members), 0) AS BIGINT) AS members FROM (SELECT cell, min(depth) AS depth FROM walk GROUP BY cell) f

@@ -98,18 +98,13 @@ HEIGHTS_SQL = """WITH RECURSIVE up(cell, h) AS (SELECT DISTINCT child, 0 FROM de
 SELECT height, count(*) AS cells FROM (SELECT cell, max(h) AS height FROM up GROUP BY cell) q GROUP BY height"""
 
 
-def q_recursive_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_recursive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of every cell."""
     places = run(spark, sf_dir, "SELECT parent, child, na, nb FROM deep_place")
     own = run(spark, sf_dir, "SELECT cell, count(*) AS members FROM deep_rect GROUP BY cell")
     return recursive_members(places, own, heights(places)).select("cell", "members")
 
 
-def q_recursive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The levels that MEMBERS_SQL lists: root, regions and nations."""
-    return q_recursive_members_all(spark, sf_dir).where(f"cell < {3 * _L}")
-
-
 _L = 100_000_000_000
 
 
@@ -117,9 +112,8 @@ def _level(n: int, below: str) -> str:
     return f"SELECT d.parent AS cell, sum(d.na * d.nb * b.members) AS members FROM deep_place d JOIN ({below}) b ON b.cell = d.child WHERE d.parent >= {n * _L} AND d.parent < {(n + 1) * _L} GROUP BY d.parent"
 
 
-_PARTS = "SELECT cell, count(*) AS members FROM deep_rect GROUP BY cell"
-_ORDERS = _level(4, _PARTS)
-_CUSTOMERS = _level(3, _ORDERS)
-_NATIONS = _level(2, _CUSTOMERS)
-_REGIONS = _level(1, _NATIONS)
-MEMBERS_SQL = " UNION ALL ".join(f"SELECT cell, CAST(members AS BIGINT) AS members FROM ({s}) q" for s in (_NATIONS, _REGIONS, _level(0, _REGIONS)))
+_NAMES = ("parts", "orders_", "customers_", "nations_", "regions_", "root_")
+_STEPS = ["parts AS (SELECT c.child AS cell, count(r.cell) AS members FROM (SELECT DISTINCT child FROM deep_place) c LEFT JOIN deep_rect r ON r.cell = c.child WHERE c.child NOT IN (SELECT parent FROM deep_place) GROUP BY c.child)"]
+_STEPS += [f"{_NAMES[i]} AS ({_level(5 - i, f'SELECT cell, members FROM {_NAMES[i - 1]}')})" for i in range(1, 6)]
+#: Leaves on the way up (a customer without orders) have no members of their own or below.
+MEMBERS_SQL = "WITH " + ", ".join(_STEPS) + " SELECT cell, CAST(sum(members) AS BIGINT) AS members FROM (" + " UNION ALL ".join(f"SELECT cell, members FROM {n}" for n in _NAMES) + ") q GROUP BY cell"

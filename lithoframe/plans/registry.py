@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
-from ..operators import density, folds, graph
+from ..operators import density, folds, graph, numbers, rulers
+from ..operators.pruned import S as PRUNED
 from ..operators.sqlset import Q as SQLSET
 from . import adapters  # noqa: F401  the views
 from .compiler import oracle, run
@@ -15,7 +16,8 @@ def _sql(text: str, spark, sf_dir: str):
 
 
 Q = SQLSET | density.Q
-QUERIES: dict = {name: partial(_sql, text) for name, text in Q.items()}
+#: Where S has a text, Spark runs that and the plain text checks it.
+QUERIES: dict = {name: partial(_sql, PRUNED.get(name, text)) for name, text in Q.items()}
 ORACLES: dict = {name: oracle(text) for name, text in Q.items()}
 
 QUERIES |= {"closure": graph.q_closure, "cell_heights": graph.q_heights, "recursive_members": graph.q_recursive_members}
@@ -27,5 +29,8 @@ QUERIES |= {"recursive_boxes": folds.q_recursive_boxes, "recursive_area": folds.
 ORACLES |= {"recursive_boxes": oracle(folds.BOXES_SQL), "recursive_area": oracle(folds.AREA_SQL), "lod_cut": oracle(folds.LOD_SQL)}
 #: Greedy runs are beyond SQL; a test holds them against brute force.
 QUERIES |= {"find_grids": folds.q_find_grids}
-#: The folds of every cell, which their SQL does not list; a test holds them against brute force.
-QUERIES |= {"recursive_members_all": graph.q_recursive_members_all, "recursive_boxes_all": folds.q_recursive_boxes_all, "recursive_area_all": folds.q_recursive_area_all}
+#: Numbers come after filters; the plain text with its global order checks them.
+QUERIES |= {"drc_query_rect": numbers.q_drc_query_rect, "drc_grid_page": numbers.q_drc_grid_page, "marker_hit": numbers.q_marker_hit}
+#: Rulers by feet on segments, checked by the form of each shape.
+QUERIES |= {"drc_rulers": partial(_sql, rulers.Q_RULERS), "drc_measured_bound": partial(_sql, rulers.Q_MEASURED)}
+ORACLES |= {"drc_rulers": oracle(rulers.O_RULERS), "drc_measured_bound": oracle(rulers.O_MEASURED)}

@@ -72,7 +72,7 @@ def test_folds_return_every_cell(spark):
             at = [turn(x, -y if p.flip else y) for x in (x0, x1) for y in (y0, y1)]
             steps = [(i * p.vax, j * p.vby) for i in (0, p.na - 1) for j in (0, p.nb - 1)]
             grow(p.parent, [p.px + x + dx for x, _ in at for dx, _ in steps], [p.py + y + dy for _, y in at for _, dy in steps])
-    got = {n: registry.QUERIES[f"recursive_{n}_all"](spark, sf).collect() for n in ("members", "boxes", "area")}
+    got = {n: registry.QUERIES[f"recursive_{n}"](spark, sf).collect() for n in ("members", "boxes", "area")}
     assert max(cells) > 3 * 100_000_000_000
     assert sorted(tuple(r) for r in got["members"]) == sorted((c, members[c]) for c in cells)
     assert sorted(tuple(r) for r in got["boxes"]) == sorted((c, *b) for c, b in box.items())
