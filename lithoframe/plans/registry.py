@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from ..operators import density, folds, graph, numbers, rulers
+from ..operators import density, folds, graph, numbers, rulers, viewplan
 from ..operators.pruned import S as PRUNED
 from ..operators.sqlset import Q as SQLSET
 from . import adapters  # noqa: F401  the views
@@ -34,3 +34,6 @@ QUERIES |= {"drc_query_rect": numbers.q_drc_query_rect, "drc_grid_page": numbers
 #: Rulers by feet on segments, checked by the form of each shape.
 QUERIES |= {"drc_rulers": partial(_sql, rulers.Q_RULERS), "drc_measured_bound": partial(_sql, rulers.Q_MEASURED)}
 ORACLES |= {"drc_rulers": oracle(rulers.O_RULERS), "drc_measured_bound": oracle(rulers.O_MEASURED)}
+#: The view by windows of cells, checked by a walk of every instance.
+QUERIES |= {"view_plan": viewplan.q_view_plan, "view_counters": viewplan.q_view_counters, "flat_deep": viewplan.q_flat_deep}
+ORACLES |= {"view_plan": oracle(viewplan.PLAN_SQL), "view_counters": oracle(viewplan.COUNTERS_SQL), "flat_deep": oracle(viewplan.FLAT_SQL)}
