@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from lithoframe.llm.near_join import Forest, Threshold, near_components, voronoi_links
+from lithoframe.llm.near_join import Forest, Threshold, keys_of, near_components, voronoi_links
 
 
 def brute(rows, k, num, den):
@@ -77,6 +77,23 @@ def test_rows_without_id_long_texts_and_common_sets(spark):
     assert sorted((r.n_shingles, r.component_id or -1) for r in got if r.doc_id is None) == [(0, -1), (5, -1), (6, 10)]
 
 
+def test_linked_sets_share_a_key():
+    """Sets of every size, up to the most that linked ones can differ."""
+    rng, met, none = np.random.default_rng(1), 0, [np.zeros(0, np.uint64)]
+    for num, den in ((80, 100), (90, 100)):
+        t = Threshold(num, den)
+        for n in [*range(1, 13), 15, 20, 25, 30, 40, 50, 75, 100, 150, 300, 800, 2500]:
+            for _ in range(150 if n < 400 else 30):
+                x = rng.integers(1, 2**63, n, dtype=np.uint64)
+                y = np.concatenate([x[rng.integers(0, max(1, n // 5) + 1) :], rng.integers(1, 2**63, rng.integers(0, max(1, n // 4) + 2), dtype=np.uint64)])
+                a, b = np.unique(x), np.unique(y)
+                c = len(np.intersect1d(a, b))
+                if len(b) and not c == len(a) == len(b) and den * c >= num * (len(a) + len(b) - c):
+                    met += 1
+                    assert len(np.intersect1d(np.concatenate(keys_of(a, t) or none), np.concatenate(keys_of(b, t) or none)))
+    assert met > 1500
+
+
 def test_voronoi_links_by_themselves():
     rng = np.random.default_rng(2)
     base = [rng.choice(3000, 80, replace=False) for _ in range(6)]
