@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from ..operators import density, folds, graph, numbers, rulers, viewplan
+from ..operators import bake, density, folds, graph, numbers, rulers, viewplan
 from ..operators.pruned import S as PRUNED
 from ..operators.sqlset import Q as SQLSET
 from . import adapters  # noqa: F401  the views
@@ -15,7 +15,7 @@ def _sql(text: str, spark, sf_dir: str):
     return run(spark, sf_dir, text)
 
 
-Q = SQLSET | density.Q
+Q = SQLSET | density.Q | bake.Q
 #: Where S has a text, Spark runs that and the plain text checks it.
 QUERIES: dict = {name: partial(_sql, PRUNED.get(name, text)) for name, text in Q.items()}
 ORACLES: dict = {name: oracle(text) for name, text in Q.items()}
@@ -37,3 +37,7 @@ ORACLES |= {"drc_rulers": oracle(rulers.O_RULERS), "drc_measured_bound": oracle(
 #: The view by windows of cells, checked by a walk of every instance.
 QUERIES |= {"view_plan": viewplan.q_view_plan, "view_counters": viewplan.q_view_counters, "flat_deep": viewplan.q_flat_deep}
 ORACLES |= {"view_plan": oracle(viewplan.PLAN_SQL), "view_counters": oracle(viewplan.COUNTERS_SQL), "flat_deep": oracle(viewplan.FLAT_SQL)}
+QUERIES |= {"coverage_levels": bake.q_coverage_levels, "label_hash": bake.q_label_hash, "derivation_listing": bake.q_derivation_listing}
+ORACLES |= {"coverage_levels": oracle(bake.MIP_SQL), "label_hash": oracle(bake.HASH_SQL), "derivation_listing": oracle(bake.LISTING_SQL)}
+#: Folds that depend on order, and grids; tests hold them against brute force.
+QUERIES |= {"box_sets": bake.q_box_sets, "compact_places": bake.q_compact_places}

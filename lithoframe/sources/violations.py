@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -265,11 +266,35 @@ def errors(rows: DataFrame) -> DataFrame:
     )
 
 
-def pack(rows: DataFrame, to: str) -> None:
-    """checks and errors as Parquet below `to`; errors in ranges of file and number, so statistics prune windows."""
+def fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modified) of the files at a path; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def pack(rows: DataFrame, to: str, source: str | None = None) -> None:
+    """checks and errors as Parquet below `to`; errors in ranges of file and number, so statistics prune windows.
+
+    source: the path that the rows were read from; its fingerprint is kept beside them.
+    """
     found = errors(rows)
     found.repartitionByRange("path", "global_no").sortWithinPartitions("path", "global_no").write.mode("overwrite").parquet(f"{to}/errors")
     checks(rows).write.mode("overwrite").parquet(f"{to}/checks")
+    if source is not None:
+        fingerprint(rows.sparkSession, source).coalesce(1).write.mode("overwrite").parquet(f"{to}/source")
+
+
+def open_results(spark: SparkSession, path: str, packed: str) -> tuple[DataFrame, DataFrame, str | None]:
+    """(checks, errors, note): the pack if it was made from these very files, else the files themselves and a note why."""
+    try:
+        was, now = spark.read.parquet(f"{packed}/source"), fingerprint(spark, path)
+        stale = was.exceptAll(now).unionByName(now.exceptAll(was)).limit(1).count()
+        if not stale:
+            return (*open_pack(spark, packed), None)
+        why = "was made from other files"
+    except (AnalysisException, ValueError) as e:
+        why = f"cannot be used ({str(e).splitlines()[0][:120]})"
+    rows = read(spark, path)
+    return checks(rows), errors(rows), f"{packed} {why}; the text of {path} is read instead"
 
 
 def open_pack(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:

@@ -120,3 +120,18 @@ def test_parts_of_files_equal_one_pass(spark, tmp_path):
             assert {i: sorted(v, key=str) for i, v in got.items()} == {i: sorted(v, key=str) for i, v in want.items() if v}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_pack_or_text(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.db").write_text(TEXT, newline="")
+    src, to = str(tmp_path / "in"), str(tmp_path / "pack")
+    want = sorted((r.global_no, r.kind) for r in violations.errors(violations.read(spark, src)).collect())
+    _, errors, note = violations.open_results(spark, src, to)
+    assert "cannot be used" in note and sorted((r.global_no, r.kind) for r in errors.collect()) == want
+    violations.pack(violations.read(spark, src), to, src)
+    checks, errors, note = violations.open_results(spark, src, to)
+    assert note is None and checks.count() == 6 and sorted((r.global_no, r.kind) for r in errors.collect()) == want
+    (tmp_path / "in" / "b.db").write_text("T 1000\nX\np 1 1\n1 1\n")
+    _, errors, note = violations.open_results(spark, src, to)
+    assert "other files" in note and errors.count() == len(want) + 1
