@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,50 +30,52 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, each of which is stored once."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def closure(roots: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     """(root, name): everything reachable from (root, name) along edges (name, operand); cycles are harmless."""
-    seen = checkpointed(roots.select("root", "name").distinct())
-    front = seen
+    steps = edges.select("name", F.col("operand").alias("nxt"))
+    found = [checkpointed(roots.select("root", "name").distinct())]
     for _ in range(most):
-        step = front.join(edges.select("name", F.col("operand").alias("nxt")), "name").select("root", F.col("nxt").alias("name")).distinct()
-        front = checkpointed(step.join(seen, ["root", "name"], "left_anti"))
+        step = found[-1].join(steps, "name").select("root", F.col("nxt").alias("name")).distinct()
+        front = checkpointed(step.join(stacked(found), ["root", "name"], "left_anti"))
         if not front.limit(1).count():
-            return seen
-        seen = checkpointed(seen.unionByName(front))
+            return stacked(found)
+        found.append(front)
     raise ValueError("the derivation is deeper than the limit")
 
 
 def heights(places: DataFrame, most: int = 64) -> DataFrame:
-    """(cell, height): leaves have 0; a cycle is an error."""
+    """(cell, height): leaves have 0; a cycle is an error. A round stores the cells whose children are all known."""
     edges = checkpointed(places.select("parent", "child").distinct())
-    left, height = edges, 0
-    done = checkpointed(edges.select(F.col("child").alias("cell")).distinct().join(edges.select(F.col("parent").alias("cell")), "cell", "left_anti").withColumn("height", F.lit(0)))
-    out = done
-    while left.limit(1).count():
-        if height == most:
-            raise ValueError("the hierarchy has a cycle or is deeper than the limit")
-        height += 1
-        open_parents = left.join(out.select(F.col("cell").alias("child")), "child", "left_anti").select("parent").distinct()
-        ready = left.select("parent").distinct().join(open_parents, "parent", "left_anti")
-        new = checkpointed(ready.select(F.col("parent").alias("cell")).withColumn("height", F.lit(height)))
+    parents = edges.select(F.col("parent").alias("cell")).distinct()
+    known = [checkpointed(edges.select(F.col("child").alias("cell")).distinct().join(parents, "cell", "left_anti").withColumn("height", F.lit(0)))]
+    for height in range(1, most + 1):
+        done = stacked(known).select("cell")
+        open_edges = edges.join(done.withColumnRenamed("cell", "child"), "child", "left_anti")
+        new = parents.join(done, "cell", "left_anti").join(open_edges.select(F.col("parent").alias("cell")), "cell", "left_anti")
+        new = checkpointed(new.select("cell", F.lit(height).alias("height")))
         if not new.limit(1).count():
-            raise ValueError("the hierarchy has a cycle")
-        out = checkpointed(out.unionByName(new))
-        left = checkpointed(left.join(ready, "parent", "left_anti"))
-    return out
+            if parents.join(stacked(known), "cell", "left_anti").limit(1).count():
+                raise ValueError("the hierarchy has a cycle")
+            return stacked(known)
+        known.append(new)
+    raise ValueError("the hierarchy has a cycle or is deeper than the limit")
 
 
 def recursive_members(places: DataFrame, own: DataFrame, tall: DataFrame) -> DataFrame:
     """(cell, members): own (cell, members) plus repetitions times those of the children, bottom up."""
     top = tall.agg(F.max("height")).first()[0] or 0
-    total = checkpointed(tall.where("height = 0").join(own, "cell", "left").select("cell", F.coalesce("members", F.lit(0)).cast("long").alias("members")))
-    reps = places.groupBy("parent", "child").agg(F.sum(F.col("na") * F.col("nb")).alias("k"))
+    total = [checkpointed(tall.where("height = 0").join(own, "cell", "left").select("cell", F.coalesce("members", F.lit(0)).cast("long").alias("members")))]
+    reps = checkpointed(places.groupBy("parent", "child").agg(F.sum(F.col("na") * F.col("nb")).alias("k")))
     for h in range(1, top + 1):
-        below = tall.where(F.col("height") == h).select(F.col("cell").alias("parent")).join(reps, "parent").join(total.withColumnRenamed("cell", "child"), "child")
+        below = tall.where(F.col("height") == h).select(F.col("cell").alias("parent")).join(reps, "parent").join(stacked(total).withColumnRenamed("cell", "child"), "child")
         new = below.groupBy(F.col("parent").alias("cell")).agg(F.sum(F.col("k") * F.col("members")).cast("long").alias("below"))
-        new = new.join(own, "cell", "left").select("cell", (F.col("below") + F.coalesce("members", F.lit(0))).cast("long").alias("members"))
-        total = checkpointed(total.unionByName(new))
-    return total
+        total.append(checkpointed(new.join(own, "cell", "left").select("cell", (F.col("below") + F.coalesce("members", F.lit(0))).cast("long").alias("members"))))
+    return stacked(total)
 
 
 def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
