@@ -85,7 +85,7 @@ Q["child_clip"] = f"""SELECT p.parent, p.child, count(*) AS n, min(p.co * ({W['x
   FROM lay_cell_origin o JOIN lay_place p ON p.parent = o.cell WHERE o.ox + p.px - 400 <= {W['x1']} AND o.ox + p.px + 400 >= {W['x0']} AND o.oy + p.py - 400 <= {W['y1']} AND o.oy + p.py + 400 >= {W['y0']} GROUP BY p.parent, p.child"""
 Q["boundary_frames"] = f"SELECT p.parent, p.child, o.ox + p.px AS fx, o.oy + p.py AS fy, p.rot, p.flip, p.na, p.nb, count(*) AS n FROM lay_cell_origin o JOIN lay_place p ON p.parent = o.cell WHERE o.ox + p.px <= {W['x1']} AND o.ox + p.px + 400 >= {W['x0']} AND o.oy + p.py <= {W['y1']} AND o.oy + p.py + 400 >= {W['y0']} GROUP BY p.parent, p.child, o.ox + p.px, o.oy + p.py, p.rot, p.flip, p.na, p.nb"
 Q["thin_frames"] = "SELECT child, bx, b_y, parent FROM (SELECT p.child, (o.ox + p.px) DIV 50000 AS bx, (o.oy + p.py) DIV 50000 AS b_y, p.parent, row_number() OVER (PARTITION BY p.child, (o.ox + p.px) DIV 50000, (o.oy + p.py) DIV 50000 ORDER BY p.parent, p.px, p.py) AS rn FROM lay_cell_origin o JOIN lay_place p ON p.parent = o.cell) q WHERE rn = 1"
-Q["frontier_boxes"] = "SELECT x0, y0, x1, y1, bin, rn FROM (SELECT x0, y0, x1, y1, bin, rn, row_number() OVER (ORDER BY rn, bin) AS keep FROM (SELECT x0, y0, x1, y1, (y0 DIV 100000) * 64 + x0 DIV 100000 AS bin, row_number() OVER (PARTITION BY (y0 DIV 100000) * 64 + x0 DIV 100000 ORDER BY (x1 - x0) * (y1 - y0) DESC, page, layer) AS rn FROM pages_v WHERE x0 >= 0 AND y0 >= 0) q WHERE rn <= 4) z WHERE keep <= 600"
+Q["frontier_boxes"] = "SELECT x0, y0, x1, y1, bin, rn, row_number() OVER (ORDER BY (x1 - x0) * (y1 - y0) DESC, keep) AS pos FROM (SELECT x0, y0, x1, y1, bin, rn, row_number() OVER (ORDER BY rn, bin) AS keep FROM (SELECT x0, y0, x1, y1, (y0 DIV 100000) * 64 + x0 DIV 100000 AS bin, row_number() OVER (PARTITION BY (y0 DIV 100000) * 64 + x0 DIV 100000 ORDER BY (x1 - x0) * (y1 - y0) DESC, page, layer) AS rn FROM pages_v WHERE x0 >= 0 AND y0 >= 0) q WHERE rn <= 4) z WHERE keep <= 600"
 Q["stream_prefix"] = "SELECT page, layer, pos, total FROM (SELECT page, layer, row_number() OVER (ORDER BY members DESC, page, layer) AS pos, CAST(sum(bytes) OVER (ORDER BY members DESC, page, layer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM pages_v) q WHERE pos = 1 OR total <= 20000"
 Q["lru_evict"] = "SELECT page, layer FROM (SELECT page, layer, gen, CAST(coalesce(sum(bytes) OVER (ORDER BY gen, page, layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(bytes) OVER () AS BIGINT) AS held FROM (SELECT page, layer, bytes, page % 7 AS gen FROM pages_v) a) q WHERE before < held - 60000 AND gen < 6"
 Q["ws_new"] = f"SELECT n.page, n.layer FROM (SELECT page, layer FROM pages_v WHERE {HIT}) n LEFT JOIN (SELECT page, layer FROM pages_v WHERE x0 <= 400000) c ON c.page = n.page AND c.layer = n.layer WHERE c.page IS NULL"
@@ -143,7 +143,8 @@ Q["lod_rectangles"] = f"""SELECT layer, x0, x1, min(cy) AS y0, max(cy) AS y1 FRO
       SELECT layer, cx, cy, cx - row_number() OVER (PARTITION BY layer, cy ORDER BY cx) AS run FROM (SELECT DISTINCT layer, @floor((x0 + x1) DIV 2, {TEX}) AS cx, @floor((y0 + y1) DIV 2, {TEX}) AS cy FROM flat_rect WHERE x0 >= 0 AND y0 >= 0) c) r GROUP BY layer, cy, run) s) t GROUP BY layer, x0, x1, grp"""
 
 # --- sessions
-Q["request_coalesce"] = "SELECT session, kind, gen FROM (SELECT user_id AS session, event_type AS kind, event_id AS gen, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) q WHERE rn = 1"
+#: The newest request of a kind runs; purchases stand for clips, which all run.
+Q["request_coalesce"] = "SELECT session, kind, gen FROM (SELECT user_id AS session, event_type AS kind, event_id AS gen, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) q WHERE rn = 1 OR kind = 'purchase'"
 Q["selection_toggle"] = """SELECT event_id FROM (SELECT event_id, 1 AS n FROM drc_raw WHERE rule = 'CLICK.0' AND event_id % 3 <> 0 UNION ALL SELECT event_id, 1 FROM drc_raw WHERE event_id % 97 = 0) t GROUP BY event_id HAVING count(*) % 2 = 1
   UNION SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS pos FROM drc_raw WHERE rule = 'VIEW.1') r WHERE pos BETWEEN 3 AND 9"""
 Q["region_difference"] = """SELECT layer, w, h, CAST(sum(a) AS BIGINT) AS in_first, CAST(sum(b) AS BIGINT) AS in_second FROM (SELECT layer, w, h, 1 AS a, 0 AS b FROM lay_rect UNION ALL SELECT layer, w, h, 0, 1 FROM lay_rect WHERE cell % 2 = 0) q GROUP BY layer, w, h HAVING sum(a) <> sum(b)"""
