@@ -5,13 +5,11 @@ The Jaccard distance 1 - |x & y| / |x | y| is a metric, so with a pivot p two do
 pivot, so pivots drawn from the corpus alone would replicate every document to every region. The join
 therefore makes its regions in two steps, both exact:
 
-1. Regions. Shingles are dealt by hash into cells of PARTS parts each, and a document sends its first cells, a
-   few more than half the shingles in which it can differ from a partner; so two linked documents differ in one
-   shingle at most in some cell that both send. A cell is sent once without each of its parts, so without the part
-   of that shingle it agrees, and is large enough that passages in common seldom fill it. Equal cells join
-   documents into a region (components over stars of cells, without listing pairs). A document with too few cells
-   that have shingles in two parts sends all of its cells and can only be missed against another such one; those
-   also share prefix tokens.
+1. Regions. Shingles are dealt by hash into cells, and a document sends its first cells, a few more than
+   the shingles in which it can differ from a partner; so two linked documents agree in a whole non-empty
+   cell that both send. Equal cells join documents into a region (components over stars of cells, without
+   listing pairs). A document with too few non-empty cells for that argument sends all of its cells and can
+   only be missed against another such one; those also share prefix tokens.
 2. Inside a region, pivots: distances to the pivot order the documents, triangle-inequality windows keep
    those that can link, a Voronoi split with boundary documents replicated (nearest pivot within 2r)
    recurses, and what is left is compared exactly. Documents already known to be connected are not
@@ -47,8 +45,6 @@ BLOCK = 512
 #: Sets that are so common that their rows are not shuffled: fewer than so many.
 COMMON = 20_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
-#: Parts of a cell of shingles, any one of which may differ.
-PARTS = 3
 
 
 class Threshold:
@@ -72,9 +68,8 @@ class Threshold:
 
     @staticmethod
     def sent(apart: int) -> int:
-        """Cells that a document sends which can differ from a partner in so many shingles: one more than could have two of them, and some as cells can be thin."""
-        spoilt = apart // 2
-        return spoilt + 1 + (spoilt + 1) // 12 + 1
+        """Cells that a document sends which can differ from a partner in so many shingles: one more, and some as cells can be empty."""
+        return apart + 1 + (apart + 1) // 12 + 1
 
     def top(self, c: int) -> int:
         """Largest size of class c."""
@@ -129,7 +124,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keys_of(s: np.ndarray, t: Threshold) -> list[np.ndarray]:
-    """The cells of a set without each of their parts, and prefix tokens if it has few: two linked, unequal sets share one."""
+    """The cells that a set sends, and prefix tokens if it has few: two linked, unequal sets share one."""
     n, c, out, weak = len(s), t.size_class(len(s)), [], False
     mixed = mix64(s + SALT)
     for config, apart in ((c, t.own(n)), (c - 1, t.below(n, c - 1) if c else 0)):
@@ -137,19 +132,15 @@ def keys_of(s: np.ndarray, t: Threshold) -> list[np.ndarray]:
             continue
         m = t.cells(config)
         cell = (((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
-        part = cell * PARTS + (((mixed & np.uint64(0xFFFFFFFF)) * np.uint64(PARTS)) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(m * PARTS, np.uint64)
-        np.add.at(total, part, mix64(mixed))
-        total, held = total.reshape(m, PARTS), np.bincount(part, minlength=m * PARTS).reshape(m, PARTS)
-        without = total.sum(1, dtype=np.uint64)[:, None] - total
-        some = held.sum(1)[:, None] > held
-        send = t.sent(apart)
-        if ((held[:send] > 0).sum(1) > 1).sum() <= apart // 2:
+        total = np.zeros(m, np.uint64)
+        np.add.at(total, cell, mix64(mixed))
+        full = np.flatnonzero(np.bincount(cell, minlength=m))
+        first = full[full < t.sent(apart)]
+        if len(first) <= apart:
             weak = True  # its partner may have the cell in common among all of them
         else:
-            some[send:] = False
-        at = np.flatnonzero(some)
-        out.append(mix64(without.ravel()[at] + mix64(at.astype(np.uint64) + np.uint64((config + 1) << 40))))
+            full = first
+        out.append(mix64(total[full] + mix64(full.astype(np.uint64) + np.uint64((config + 1) << 40))))
     if weak:
         need = -(-t.num * n // t.den)
         out.append(mix64(np.sort(mixed)[: n - need + 1] ^ np.uint64(0x5851F42D4C957F2D)))
