@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 #: White space of the word contracts, bytes 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
