@@ -210,6 +210,11 @@ def band_keys(prints: list[str], among: np.ndarray = _BAND, salt: int = 0) -> tu
     return np.concatenate(text), np.concatenate(key)
 
 
+def bands(fingerprint: str) -> list[int]:
+    """Keys of a fingerprint's bands; fingerprints that share one are candidates."""
+    return band_keys([fingerprint])[1].tolist()
+
+
 def _edited(text: str, nxt: str) -> str:
     q = len(text) // 4
     return text[: len(text) - q] + nxt[:q] if q else text
