@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small, stored, table
-from .flat import _ODD, LOWER, chunks, mix64, segment_hash
+from .flat import _ODD, LOWER, chunks, mix64, segment_hash, tidied
 
 WINDOW, LONG, MIN_LITERAL = 8, 13, 4
 #: Words put in or left out between two matched runs that are read as one.
@@ -165,6 +165,7 @@ def document_windows(docs: DataFrame, sieve: np.ndarray, sizes: list[int]) -> Da
     """(reading, h, doc_id, doc_key, i, dv): the documents' windows whose hash the sieve has, with the values of their tokens."""
     bits = np.uint64(len(sieve) * 8)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, off in chunks(batch.column(2)):
@@ -246,12 +247,13 @@ def consistent(it: np.ndarray, iv: np.ndarray, dt: np.ndarray, dv: np.ndarray) -
     return max(best, (len(it) - since, used))
 
 
+@tidied
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of matched pairs that are contaminated, with tokens covered, share of the item and slots."""
+    """Rows of matched pairs that are contaminated, with tokens covered, share of the item and slots; one pair at a time is made into Python objects."""
     for batch in batches:
         rows = []
-        for row, n, hits in zip(range(batch.num_rows), batch.column("n_item").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-            best, slots = cover(n, [(x["i"], x["j"], x["token"], x["value"], x["dv"]) for x in hits])
+        for row, (n, hits) in enumerate(zip(batch.column("n_item").to_pylist(), batch.column("hits"), strict=True)):
+            best, slots = cover(n, [(x["i"], x["j"], x["token"], x["value"], x["dv"]) for x in hits.as_py()])
             if best >= min(LONG, n) or (best >= WINDOW and 2 * best >= n):
                 rows.append((row, best, best / n, slots))
         own = pa.array([r[0] for r in rows], pa.int64())

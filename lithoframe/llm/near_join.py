@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from .common import small, stored, table
 from .components import components
-from .flat import chunks, mix64, shingles, words
+from .flat import chunks, mix64, shingles, tidied, words
 
 #: Documents of a region that one task holds.
 BLOCK = 512
@@ -110,6 +110,7 @@ def _text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles and the 128-bit hash (a, b) of each document's set."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b = [], [], []
@@ -150,6 +151,7 @@ def keys_of(s: np.ndarray, t: Threshold) -> list[np.ndarray]:
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(key, a): the keys of every set, each set once for a batch."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = Threshold(num, den), set()
         for batch in batches:
@@ -282,6 +284,7 @@ def _edges(pairs, region: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64()), pa.array([region] * len(u), pa.int64())], ["u", "v", "d", "region"])
 
 
+@tidied
 def _within(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Each block with its pivot (role 0). Rows u = v carry the distance d to the pivot."""
     t = Threshold(num, den)
@@ -299,6 +302,7 @@ def _within(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
         yield _edges(found + [(rows[i][2], rows[j][2], 0.0) for i, j in out], region)
 
 
+@tidied
 def _across(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks: rows of role 0 against those of role 1; comp connects what is connected already."""
     t = Threshold(num, den)

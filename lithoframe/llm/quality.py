@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .flat import chunks, mix64, utf8_lengths, words
+from .flat import chunks, mix64, tidied, utf8_lengths, words
 from .gam import AdditiveModel
 
 #: Labelled rows that a model is fitted to, at most.
@@ -98,6 +98,7 @@ def score(docs: DataFrame, model: AdditiveModel, *keep: str, into: str = "score"
     kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     at = kept.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [model.score(features(d, o)) for _, _, d, o in chunks(b.column(at))]

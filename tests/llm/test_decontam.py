@@ -75,3 +75,21 @@ def test_equals_brute_force(spark):
         assert len(rows) == len({(x.doc_id, x.item_id) for x in rows})
         assert {(x.doc_id, x.item_id): x.n_tokens for x in rows} == want
     assert dc.contaminated(df, bench.limit(0)).count() == 0 == dc.contaminated(df.limit(0), bench).count()
+
+
+def test_pairs_are_judged_one_at_a_time():
+    """Python objects of all pairs of a batch at once took as much memory as a worker may have."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [int(x) for x in np.arange(1, 9) * 10**17]
+    hits = [{"i": 3 * x, "j": x % 50, "token": words, "value": words, "dv": words} for x in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "doc_key": [1] * 300, "item_id": [2] * 300, "reading": pa.array([0] * 300, pa.int32()), "n_item": pa.array([60] * 300, pa.int32()), "hits": [hits] * 300})
+    want = dc.cover(60, [(x["i"], x["j"], x["token"], x["value"], x["dv"]) for x in hits])
+    tracemalloc.start()
+    rows = next(iter(dc._judged(iter([batch])))).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["n_tokens"], r["n_slots"]) for r in rows] == [want] * (300 if want[0] >= dc.LONG else 0)
+    assert most < 3 << 20
