@@ -27,9 +27,12 @@ from pyspark.sql.window import Window
 
 from .bpe import encoder
 from .common import stored, table
+from .flat import tidied
 
 CAPACITY = 1024
 END_ID = 2
+#: Pieces that a task of the result has at least, on average: a file of a few rows costs its executor more than the rows.
+TASK_ROWS = 10_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -106,6 +109,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece; part and nth number the pieces of a length within a partition."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -150,7 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = cut.join(base, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, PACKED)
+    tasks = max(1, sum(histogram.values()) // TASK_ROWS)
+    return ranked.coalesce(tasks).mapInArrow(place, PACKED)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

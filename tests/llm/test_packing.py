@@ -68,6 +68,24 @@ def test_pack_round_trip(spark):
     assert pack(df.limit(0), TOK).count() == 0
 
 
+def test_few_pieces_are_not_dealt_over_many_tasks(spark, monkeypatch):
+    from lithoframe.llm import packing
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    df = spark.createDataFrame([(i, "a b " * (i % 7)) for i in range(90)], "doc_id long, text string").repartition(3)
+    try:
+        for k, v in zip(before, ("40", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        one = pack(df, TOK)
+        assert one.rdd.getNumPartitions() == 1
+        assert sorted(r.doc_id for r in one.collect()) == list(range(90))
+        monkeypatch.setattr(packing, "TASK_ROWS", 10)
+        assert pack(df, TOK).rdd.getNumPartitions() == 9
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_encoder_equals_the_library_and_stays_small(monkeypatch):
     """Many different words, with the known ones dropped again and again."""
     import random
