@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..plans.compiler import run
 from .density import levels
-from .graph import _L, checkpointed, heights, stacked
+from .graph import _L, folded, heights
 
 #: Members of distinct cells that levels may hold before the depth cut.
 LOD_MEMBERS = 50_000
@@ -29,28 +29,22 @@ FROM (SELECT t.*, px + co * x0 - si * ff * y0 AS ax, py + si * x0 + co * ff * y0
 def recursive_boxes(places: DataFrame, own: DataFrame, tall: DataFrame) -> DataFrame:
     """(cell, x0, y0, x1, y1): own boxes (cell, x0, y0, x1, y1) and those of children, placed and repeated."""
     spark, box = places.sparkSession, [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    own = checkpointed(own.groupBy("cell").agg(*box))
-    total = [checkpointed(tall.where("height = 0").join(own, "cell").select("cell", "x0", "y0", "x1", "y1"))]
-    for h in range(1, (tall.agg(F.max("height")).first()[0] or 0) + 1):
-        now = tall.where(F.col("height") == h).select("cell")
-        of_now = places.join(now.withColumnRenamed("cell", "parent"), "parent")
-        placed = spark.sql(_TURNED.format(parent="parent", places="{p}", boxes="{b}"), p=of_now, b=stacked(total))
-        found = placed.unionByName(now.join(own, "cell").select(placed.columns)).groupBy("cell").agg(*box)
-        total.append(checkpointed(found))
-    return stacked(total)
+
+    def placed(at: DataFrame, values: DataFrame) -> DataFrame:
+        return spark.sql(_TURNED.format(parent="parent", places="{p}", boxes="{b}"), p=at, b=values)
+
+    return folded(places, own.select("cell", "x0", "y0", "x1", "y1"), tall, placed, lambda rows: rows.groupBy("cell").agg(*box))
 
 
 def recursive_area(places: DataFrame, own: DataFrame, tall: DataFrame) -> DataFrame:
     """(cell, layer, area): own (cell, layer, area) and repetitions times those of the children; overlaps count twice."""
-    reps = checkpointed(places.groupBy("parent", "child").agg(F.sum(F.col("na") * F.col("nb")).alias("k")))
-    own = checkpointed(own.groupBy("cell", "layer").agg(F.sum("area").cast("double").alias("area")))
-    total = [checkpointed(tall.where("height = 0").select("cell").join(own, "cell"))]
-    for h in range(1, (tall.agg(F.max("height")).first()[0] or 0) + 1):
-        now = tall.where(F.col("height") == h).select("cell")
-        below = reps.join(now.withColumnRenamed("cell", "parent"), "parent").join(stacked(total).withColumnRenamed("cell", "child"), "child")
-        rows = below.select(F.col("parent").alias("cell"), "layer", (F.col("k") * F.col("area")).alias("area")).unionByName(now.join(own, "cell"))
-        total.append(checkpointed(rows.groupBy("cell", "layer").agg(F.sum("area").alias("area"))))
-    return stacked(total)
+    reps = places.select("parent", "child", (F.col("na") * F.col("nb")).alias("k"))
+
+    def placed(at: DataFrame, values: DataFrame) -> DataFrame:
+        return at.join(values.withColumnRenamed("cell", "child"), "child").select(F.col("parent").alias("cell"), "layer", (F.col("k") * F.col("area")).alias("area"))
+
+    areas = own.select("cell", "layer", F.col("area").cast("double").alias("area"))
+    return folded(reps, areas, tall, placed, lambda rows: rows.groupBy("cell", "layer").agg(F.sum("area").alias("area")))
 
 
 def lod_cut(met: DataFrame, own: DataFrame, limit: int = LOD_MEMBERS) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,33 +50,62 @@ def closure(roots: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
 
 
 def heights(places: DataFrame, most: int = 64) -> DataFrame:
-    """(cell, height): leaves have 0; a cycle is an error. A round stores the cells whose children are all known."""
-    edges = checkpointed(places.select("parent", "child").distinct())
-    parents = edges.select(F.col("parent").alias("cell")).distinct()
-    known = [checkpointed(edges.select(F.col("child").alias("cell")).distinct().join(parents, "cell", "left_anti").withColumn("height", F.lit(0)))]
+    """(cell, height): leaves have 0; a cycle is an error.
+
+    A round keeps the cells that are one level higher at least (parents of the last round's) and the edges to them, so
+    edges are read whole once and then only shrink. A round that loses no cell has a cycle.
+    """
+    edges = places.select("parent", "child")
+    front = checkpointed(edges.select(F.col("parent").alias("cell")).distinct())
+    kids = checkpointed(edges.select(F.col("child").alias("cell")).distinct().join(front.withColumn("inner", F.lit(1)), "cell", "left"))
+    known = [kids.where("inner IS NULL").select("cell", F.lit(0).alias("height"))]
+    inner = kids.where("inner = 1").select(F.col("cell").alias("child"))
+    held = front.count()
     for height in range(1, most + 1):
-        done = stacked(known).select("cell")
-        open_edges = edges.join(done.withColumnRenamed("cell", "child"), "child", "left_anti")
-        new = parents.join(done, "cell", "left_anti").join(open_edges.select(F.col("parent").alias("cell")), "cell", "left_anti")
-        new = checkpointed(new.select("cell", F.lit(height).alias("height")))
-        if not new.limit(1).count():
-            if parents.join(stacked(known), "cell", "left_anti").limit(1).count():
-                raise ValueError("the hierarchy has a cycle")
-            return stacked(known)
-        known.append(new)
+        edges = checkpointed(edges.join(inner, "child", "left_semi").select("parent", "child"))
+        higher = checkpointed(edges.select(F.col("parent").alias("cell")).distinct())
+        left = higher.count()
+        if not left:
+            return stacked([*known, front.select("cell", F.lit(height).alias("height"))])
+        if left == held:
+            raise ValueError("the hierarchy has a cycle")
+        known.append(checkpointed(front.join(higher, "cell", "left_anti").select("cell", F.lit(height).alias("height"))))
+        front, held, inner = higher, left, higher.withColumnRenamed("cell", "child")
     raise ValueError("the hierarchy has a cycle or is deeper than the limit")
 
 
+def folded(places: DataFrame, own: DataFrame, tall: DataFrame, placed: Callable[[DataFrame, DataFrame], DataFrame], total: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Values (cell, ...) of every cell: its own rows and those of its children as placed, bottom up.
+
+    own has a row or more for cells that have values of their own; placed(places, values) gives the rows (cell, ...) that
+    children's values add to their parents; total() makes the values of cells of such rows. A level's values are sent
+    to all its parents at once, stored with the parents' heights, so a placement is joined in one round only.
+    """
+    top = tall.agg(F.max("height")).first()[0] or 0
+    names = own.columns
+    own = checkpointed(total(own).join(tall, "cell").select(*names, "height"))
+    sent, found = [own], []
+    above = places.join(tall.where("height > 0").withColumnRenamed("cell", "child"), "child").select(*places.columns, F.col("height").alias("of"))
+    above = checkpointed(above) if top > 1 else above
+    for h in range(top + 1):
+        rows = stacked([s.where(F.col("height") == h).select(*names) for s in sent])
+        found.append(checkpointed(total(rows)) if h else rows)
+        if h < top:
+            at = above.where(F.col("of") == h).select(*places.columns) if h else places
+            new = total(placed(at, found[-1])).join(tall.where(F.col("height") > h), "cell")
+            sent.append(checkpointed(new.select(*names, "height")))
+    return stacked(found)
+
+
 def recursive_members(places: DataFrame, own: DataFrame, tall: DataFrame) -> DataFrame:
     """(cell, members): own (cell, members) plus repetitions times those of the children, bottom up."""
-    top = tall.agg(F.max("height")).first()[0] or 0
-    total = [checkpointed(tall.where("height = 0").join(own, "cell", "left").select("cell", F.coalesce("members", F.lit(0)).cast("long").alias("members")))]
-    reps = checkpointed(places.groupBy("parent", "child").agg(F.sum(F.col("na") * F.col("nb")).alias("k")))
-    for h in range(1, top + 1):
-        below = tall.where(F.col("height") == h).select(F.col("cell").alias("parent")).join(reps, "parent").join(stacked(total).withColumnRenamed("cell", "child"), "child")
-        new = below.groupBy(F.col("parent").alias("cell")).agg(F.sum(F.col("k") * F.col("members")).cast("long").alias("below"))
-        total.append(checkpointed(new.join(own, "cell", "left").select("cell", (F.col("below") + F.coalesce("members", F.lit(0))).cast("long").alias("members"))))
-    return stacked(total)
+    reps = places.select("parent", "child", (F.col("na") * F.col("nb")).alias("k"))
+    every = tall.select("cell").join(own, "cell", "left").select("cell", F.coalesce("members", F.lit(0)).cast("long").alias("members"))
+
+    def placed(at: DataFrame, values: DataFrame) -> DataFrame:
+        return at.join(values.where("members > 0").withColumnRenamed("cell", "child"), "child").select(F.col("parent").alias("cell"), (F.col("k") * F.col("members")).alias("members"))
+
+    return folded(reps, every, tall, placed, lambda rows: rows.groupBy("cell").agg(F.sum("members").cast("long").alias("members")))
 
 
 def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
