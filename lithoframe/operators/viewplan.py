@@ -29,8 +29,8 @@ FROM (SELECT m.*, co * (wx0 - ox) + si * (wy0 - oy) AS lx0, ff * (co * (wy0 - oy
     FROM (SELECT * FROM (SELECT b.*, CASE WHEN na > 1 AND vax > 0 THEN greatest(CAST(0 AS BIGINT), ceil_((wx0 - bx1), vax)) ELSE CAST(0 AS BIGINT) END AS i0, CASE WHEN na > 1 AND vax > 0 THEN least(na - 1, floor_((wx1 - bx0), vax)) ELSE na - 1 END AS i1,
                  CASE WHEN nb > 1 AND vby > 0 THEN greatest(CAST(0 AS BIGINT), ceil_((wy0 - by1), vby)) ELSE CAST(0 AS BIGINT) END AS j0, CASE WHEN nb > 1 AND vby > 0 THEN least(nb - 1, floor_((wy1 - by0), vby)) ELSE nb - 1 END AS j1
           FROM (SELECT t.*, px + least(ax, bx) AS bx0, px + greatest(ax, bx) AS bx1, py + least(ay, b_y) AS by0, py + greatest(ay, b_y) AS by1
-            FROM (SELECT d.*, w.remaining, w.x0 AS wx0, w.y0 AS wy0, w.x1 AS wx1, w.y1 AS wy1, w.k, c.x0 AS cx0, c.y0 AS cy0, c.x1 AS cx1, c.y1 AS cy1, co * c.x0 - si * ff * c.y0 AS ax, si * c.x0 + co * ff * c.y0 AS ay, co * c.x1 - si * ff * c.y1 AS bx, si * c.x1 + co * ff * c.y1 AS b_y
-              FROM {w} w JOIN (SELECT *, CASE rot WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS co, CASE rot WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS si, CASE flip WHEN 1 THEN -1 ELSE 1 END AS ff FROM {d}) d ON d.parent = w.cell JOIN {c} c ON c.cell = d.child) t) b
+            FROM (SELECT d.*, c.x0 AS cx0, c.y0 AS cy0, c.x1 AS cx1, c.y1 AS cy1, co * c.x0 - si * ff * c.y0 AS ax, si * c.x0 + co * ff * c.y0 AS ay, co * c.x1 - si * ff * c.y1 AS bx, si * c.x1 + co * ff * c.y1 AS b_y
+              FROM (SELECT *, CASE rot WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS co, CASE rot WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS si, CASE flip WHEN 1 THEN -1 ELSE 1 END AS ff FROM {m}) d JOIN {c} c ON c.cell = d.child) t) b
           WHERE bx0 <= wx1 AND by0 <= wy1 AND bx1 + greatest(CAST(0 AS BIGINT), (na - 1) * vax) >= wx0 AND by1 + greatest(CAST(0 AS BIGINT), (nb - 1) * vby) >= wy0) s WHERE i0 <= i1 AND j0 <= j1) r
       LATERAL VIEW explode(sequence(i0, i1)) gi AS i LATERAL VIEW explode(sequence(j0, j1)) gj AS j) m
   WHERE bx0 + i * vax <= wx1 AND bx1 + i * vax >= wx0 AND by0 + j * vby <= wy1 AND by1 + j * vby >= wy0) l"""
@@ -52,7 +52,9 @@ def view_plan(places: DataFrame, boxes: DataFrame, root: int, window: tuple[int,
     level = boxes.where(F.col("cell") == root).select("cell", F.lit(depth).alias("remaining"), *here, F.lit(1).cast("long").alias("k")).where("x0 <= x1 AND y0 <= y1")
     level = out = checkpointed(level)
     for _ in range(depth + 1):
-        below = spark.sql(step, w=level, d=places, c=boxes)
+        # stored by itself, so that few placements meet the boxes by broadcast
+        placed = checkpointed(level.select(F.col("cell").alias("parent"), "remaining", *(F.col(c).alias(f"w{c}") for c in BOX), "k").join(places, "parent"))
+        below = spark.sql(step, m=placed, c=boxes)
         level = checkpointed(below.groupBy("cell", "remaining", *BOX).agg(F.sum("k").cast("long").alias("k")))
         if not level.limit(1).count():
             break
@@ -67,27 +69,29 @@ def flattened(plan: DataFrame, shapes: DataFrame) -> DataFrame:
     return met.groupBy("layer").agg(F.sum("instances").cast("long").alias("members"), F.sum(F.col("instances") * F.col("w") * F.col("h")).cast("long").alias("area"))
 
 
-def _plan(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    places = checkpointed(run(spark, sf_dir, "SELECT parent, child, px, py, rot, flip, na, nb, vax, vby FROM deep_place"))
-    return view_plan(places, checkpointed(q_recursive_boxes(spark, sf_dir)), 0, VIEW, depth)
+def _plan(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The plan, and the boxes that it was made by."""
+    places = run(spark, sf_dir, "SELECT parent, child, px, py, rot, flip, na, nb, vax, vby FROM deep_place")
+    boxes = q_recursive_boxes(spark, sf_dir)
+    return view_plan(places, boxes, 0, VIEW, depth), boxes
 
 
 def q_view_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and windows of the view, and frames where its depth ends."""
-    return _plan(spark, sf_dir, DEPTH)
+    return _plan(spark, sf_dir, DEPTH)[0]
 
 
 def q_view_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan's counters by remaining depth: windows, cells, instances, and how many see their cell whole."""
-    boxes = q_recursive_boxes(spark, sf_dir).select("cell", F.struct(*BOX).alias("whole"))
-    seen = _plan(spark, sf_dir, DEPTH).join(boxes, "cell")
+    plan, boxes = _plan(spark, sf_dir, DEPTH)
+    seen = plan.join(boxes.select("cell", F.struct(*BOX).alias("whole")), "cell")
     whole = F.sum(F.when(F.struct(*BOX) == F.col("whole"), F.col("instances")).otherwise(0)).cast("long").alias("whole")
     return seen.groupBy("remaining").agg(F.count("*").alias("windows"), F.count_distinct("cell").alias("cells"), F.sum("instances").cast("long").alias("instances"), whole)
 
 
 def q_flat_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members and area by layer in the view through every level."""
-    return flattened(_plan(spark, sf_dir, FULL), run(spark, sf_dir, "SELECT cell, layer, x, y, w, h FROM deep_rect"))
+    return flattened(_plan(spark, sf_dir, FULL)[0], run(spark, sf_dir, "SELECT cell, layer, x, y, w, h FROM deep_rect"))
 
 
 _CO, _SI, _FF = "CASE a.rot WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END", "CASE a.rot WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END", "CASE a.flip WHEN 1 THEN -1 ELSE 1 END"
