@@ -6,6 +6,9 @@ often it is placed. Cells without shapes below them have no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,89 +59,96 @@ def lod_cut(met: DataFrame, own: DataFrame, limit: int = LOD_MEMBERS) -> DataFra
     return level.withColumn("running", running).withColumn("kept", (F.col("running") <= limit).cast("int"))
 
 
-def pitch_runs(values: list[int]) -> list[tuple[int, int, int]]:
-    """(first, pitch, count) of sorted values, from left to right; a run takes all that follow at its pitch.
+def runs_of(values: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(first, pitch, count, times) of sorted different values with how often each is met, from left to right.
 
-    A value that its equal follows is a run of its own.
+    A run takes all that follow at its pitch. A value that its equal follows is a run of its own: of a value that is met
+    n times the first can end a run, the last can begin one, and those between stand alone. Nothing is held but a run.
     """
-    out, start = [], 0
-    steps = [b - a for a, b in zip(values, values[1:], strict=False)]
-    while start < len(values):
-        end = start
-        if start < len(steps) and steps[start]:
-            while end < len(steps) and steps[end] == steps[start]:
-                end += 1
-        out.append((values[start], steps[start] if end > start else 0, end - start + 1))
-        start = end + 1
-    return out
-
-
-def _runs(batches, n_keys: int, emit):
-    """Rows (keys, value) sorted by keys and value: emit(keys, values) for each group, one at a time."""
-    now, values = None, []
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(n_keys + 1)]
-        out = []
-        for row in zip(*cols, strict=True):
-            if row[:-1] != now:
-                if values:
-                    out += emit(now, values)
-                now, values = row[:-1], []
-            values.append(row[-1])
-        yield out
-    yield emit(now, values) if values else []
+    first = last = pitch = n = 0
+    for v, times in values:
+        if n and (n == 1 or v - last == pitch):
+            pitch = v - last
+            last, n, times = v, n + 1, times - 1
+        if times:
+            if n:
+                yield first, pitch, n, 1
+            if times > 1:
+                yield v, 0, 1, times - 1
+            first, last, pitch, n = v, v, 0, 1
+    if n:
+        yield first, pitch, n, 1
+
+
+def pitch_runs(values: list[int]) -> list[tuple[int, int, int]]:
+    """(first, pitch, count) of sorted values."""
+    return [run[:3] for run in runs_of((v, len(list(same))) for v, same in groupby(values)) for _ in range(run[3])]
+
+
+#: Rows of a batch that a pass of find_grids puts out.
+OUT = 10_000
 
 
 def find_grids(points: DataFrame, *keys: str) -> DataFrame:
     """keys, x0, y0, dx, nx, dy, ny: grids among the points (keys, x, y), and the rest as grids of one member.
 
-    Columns of one x are cut to runs of constant pitch, then equal runs at a constant pitch of x are one grid. Each
-    pass deals points by more than the keys (a column; a run's shape), sorts its partitions and reads them once, so a
-    large set of points is spread over many tasks. Repeated points stay points of their own.
+    Columns of one x are cut to runs of constant pitch, then equal runs at a constant pitch of x are one grid. Equal
+    points are counted before they are dealt, unless points come counted (times). Each pass deals rows by more than the keys (a column; a run's shape),
+    sorts its partitions and reads them once; a task holds a run and a batch, whatever its group has. Repeated points
+    stay points of their own.
     """
     import pyarrow as pa
 
     types = {f.name: f.dataType for f in points.schema}
     head = "".join(f"`{k}` {types[k].simpleString()}, " for k in keys)
+    k = len(keys)
 
-    def batch(rows: list[tuple], like: pa.RecordBatch | None, names: list[str], n: int) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        kinds = [*(like.schema.field(i).type for i in range(n)), *[pa.int64()] * (len(names) - n)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+    def passed(emit, n_keys: int, names: list[str]):
+        """Rows (n_keys of a group, value, times), sorted: emit(group, values with times) as batches."""
 
-    def passed(emit, n_keys: int, outer: int, names: list[str]):
         def run(batches):
             like = []
 
-            def seen():
+            def rows():
                 for b in batches:
-                    like[:] = [b]
-                    yield b
-
-            for rows in _runs(seen(), n_keys, emit):
-                if rows:
-                    yield batch(rows, like[0], names, outer)
+                    like[:] = [b.schema.field(i).type for i in range(k)]
+                    yield from zip(*(b.column(i).to_pylist() for i in range(n_keys + 2)), strict=True)
+
+            def batch(out):
+                kinds = [*like, *[pa.int64()] * (len(names) - k)]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+            out = []
+            for group, members in groupby(rows(), lambda r: r[:n_keys]):
+                for row in emit(group, (r[n_keys:] for r in members)):
+                    out.append(row)
+                    if len(out) >= OUT:
+                        yield batch(out)
+                        out = []
+            if out:
+                yield batch(out)
 
         return run
 
     def column(key, ys):
-        return [(*key, y0, dy, n) for y0, dy, n in pitch_runs(ys)]
+        return ((*key, y0, dy, n, times) for y0, dy, n, times in runs_of(ys))
 
     def fused(key, xs):
         *outer, y0, dy, ny = key
-        rows = []
-        for x0, dx, nx in pitch_runs(xs):
+        # a point that its equal follows has a row for itself and one for the others
+        for x0, dx, nx, times in runs_of((x, sum(t for _, t in same)) for x, same in groupby(xs, lambda r: r[0])):
             if ny > 1 and nx * ny >= LEAST_GRID:
-                rows.append((*outer, x0, y0, dx, nx, dy, ny))
+                yield (*outer, x0, y0, dx, nx, dy, ny)
             else:
-                rows += [(*outer, x0 + i * dx, y0 + j * dy, 0, 1, 0, 1) for i in range(nx) for j in range(ny)]
-        return rows
+                yield from ((*outer, x0 + i * dx, y0 + j * dy, 0, 1, 0, 1) for _ in range(times) for i in range(nx) for j in range(ny))
 
-    k = len(keys)
-    dealt = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, F.col("x").cast("long"), F.col("y").cast("long")).repartition(*keys, "x").sortWithinPartitions(*keys, "x", "y")
-    runs = dealt.mapInArrow(passed(column, k + 1, k, [*keys, "x", "y0", "dy", "ny"]), f"{head}x long, y0 long, dy long, ny long")
-    shape = runs.select(*keys, "y0", "dy", "ny", "x").repartition(*keys, "y0", "dy", "ny").sortWithinPartitions(*keys, "y0", "dy", "ny", "x")
-    return shape.mapInArrow(passed(fused, k + 3, k, [*keys, "x0", "y0", "dx", "nx", "dy", "ny"]), f"{head}x0 long, y0 long, dx long, nx long, dy long, ny long")
+    met = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, F.col("x").cast("long"), F.col("y").cast("long"), *(["times"] if "times" in points.columns else []))
+    if "times" not in points.columns:
+        met = met.groupBy(*keys, "x", "y").agg(F.count("*").alias("times"))
+    dealt = met.repartition(*keys, "x").sortWithinPartitions(*keys, "x", "y")
+    runs = dealt.mapInArrow(passed(column, k + 1, [*keys, "x", "y0", "dy", "ny", "times"]), f"{head}x long, y0 long, dy long, ny long, times long")
+    shape = runs.select(*keys, "y0", "dy", "ny", "x", "times").repartition(*keys, "y0", "dy", "ny").sortWithinPartitions(*keys, "y0", "dy", "ny", "x")
+    return shape.mapInArrow(passed(fused, k + 3, [*keys, "x0", "y0", "dx", "nx", "dy", "ny"]), f"{head}x0 long, y0 long, dx long, nx long, dy long, ny long")
 
 
 _PLACES = "SELECT parent, child, px, py, rot, flip, na, nb, vax, vby FROM deep_place"
@@ -165,7 +175,7 @@ def q_lod_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_find_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of placement origins by the cell placed and its orientation."""
-    return find_grids(run(spark, sf_dir, "SELECT DISTINCT child, rot, flip, o.ox + px AS x, o.oy + py AS y FROM lay_cell_origin o JOIN lay_place p ON p.parent = o.cell"), "child", "rot", "flip")
+    return find_grids(run(spark, sf_dir, "SELECT DISTINCT child, rot, flip, o.ox + px AS x, o.oy + py AS y, CAST(1 AS BIGINT) AS times FROM lay_cell_origin o JOIN lay_place p ON p.parent = o.cell"), "child", "rot", "flip")
 
 
 def _boxes(level: int, below: str) -> str:
